@@ -282,6 +282,49 @@ def restore(text: str, glyphs: dict[str, str] | None = None) -> tuple[str, bool,
     return mended, garbled or lost, not lost
 
 
+def aligned_restore(text: str) -> tuple[str, list[int]]:
+    """The restored text and, for each of its characters, the offset of the character (or of the first of the characters) in
+    ``text`` that stands for it. Characters read from UTF-8 bytes stand for as many characters as they have bytes."""
+    out: list[str] = []
+    offsets: list[int] = []
+    at = 0
+
+    def keep(start: int, end: int) -> None:
+        out.append(text[start:end])
+        offsets.extend(range(start, end))
+
+    for m in _WORDS.finditer(text):
+        w = m.group()
+        if w.isascii():
+            continue
+        new, changed = restored_word(w)
+        if not changed:
+            continue
+        keep(at, m.start())
+        at = m.end()
+        out.append(new)
+        if len(new) == len(w):
+            offsets.extend(range(m.start(), m.end()))
+            continue
+        head = 0
+        while head < min(len(new), len(w)) and new[head] == w[head]:
+            head += 1
+        tail = 0
+        while tail < min(len(new), len(w)) - head and new[-1 - tail] == w[-1 - tail]:
+            tail += 1
+        middle = new[head : len(new) - tail]
+        sizes = [len(c.encode("utf-8", "surrogatepass")) for c in middle]
+        scale = (len(w) - head - tail) / max(1, sum(sizes))  # 1 unless bytes were read wrongly more than once
+        offsets.extend(range(m.start(), m.start() + head))
+        done = 0
+        for size in sizes:
+            offsets.append(m.start() + head + round(done * scale))
+            done += size
+        offsets.extend(range(m.end() - tail, m.end()))
+    keep(at, len(text))
+    return "".join(out), offsets
+
+
 # --- the tables ---
 
 

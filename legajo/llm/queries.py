@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import encoding, packing, quality, terms, tokens
+from legajo.llm import encoding, packing, quality, sentences, terms, tokens
 from legajo.session import table
 
 
@@ -23,6 +23,11 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repaired(sources, encoding.glyph_map(pages)).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    units = sentences.sentence_units(table(spark, d, "paragraphs"), table(spark, d, "causal_sentences"))
+    return units.select("rec_id", "sent_no", "start_pos").distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
+    "p5_found": p5_found,
     "p8_ids": p8_ids,
     "p9_packed": p9_packed,
     "p10_found": p10_found,
