@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import encoding, packing, quality, sentences, terms, tokens
+from legajo.llm import encoding, packing, quality, scans, sentences, terms, tokens
 from legajo.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repairs_found(table(spark, d, "paragraphs"), table(spark, d, "removed_headers_footers"))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return scans.cleaned(table(spark, d, "paragraphs"), table(spark, d, "removed_headers_footers"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     scores = terms.term_scores(table(spark, d, "paragraphs"), table(spark, d, "term_probes"), "paragraph_id", "clean_text")
     return terms.most_characteristic(scores, "paragraph_id")
@@ -45,6 +53,8 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_restored": p4_restored,

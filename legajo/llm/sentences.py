@@ -234,7 +234,7 @@ def _boundary(text: str, dot: int, end: int, sentence: int, cover: list[int]) ->
                 return 0  # inside "a. m.", "z. B.", "т. е."
             if "." not in low and word.isupper() and nxt.isupper() and not _after_short(text, dot):
                 return 0  # an initial
-            if low == "г" and len(text[sentence:dot].split()) <= 3:
+            if low == "г" and dot - sentence < 40 and len(text[sentence:dot].split()) <= 3:
                 return 0
         if glued and nxt.isupper() and text[at + 1 : at + 2] == "." and word.isupper() and len(letters) <= 3:
             return 0
@@ -260,6 +260,8 @@ def _ordinal(text: str, dot: int, at: int) -> bool:
 
 def _only_list_mark(text: str, sentence: int, dot: int) -> bool:
     """Whether the sentence so far is just "1" or "a" or "IV", so that the dot belongs to a list mark."""
+    if dot - sentence > 20:
+        return False
     head = text[sentence:dot].strip(_BLANK + "(")
     return len(head) <= 4 and (head.isdigit() or len(head) == 1 and head.isalpha() or bool(re.fullmatch(r"[ivxIVX]{1,4}", head)))
 
@@ -343,6 +345,8 @@ def sentences(df: DataFrame, key: str, text: str, whole: Column | None = None) -
                     starts = [offsets[s] for s in sentence_starts(mended)]
                 else:
                     starts = sentence_starts(t)
+                if not starts:
+                    continue
                 if one:
                     starts = starts[:1]
                 ends = [*starts[1:], len(t)]
