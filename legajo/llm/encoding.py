@@ -31,12 +31,14 @@ STATES = 200
 
 #: Anything that a garbled text has; a superset, checked afterwards (one pass of one pattern inside the JVM).
 SUSPECT = (
-    r"[\u0000-\u0008\u000B\u000E-\u001F\u007F-\u009F�─-▟⌐√∂∑∏∫≈≠≤≥∞◊]"
-    r"|[ÂÃ](?=[^A-Za-zÀ-ÿ\s.,;:)»”?!])|[ÂÃ](?=[À-ÿ])(?![ÂÃ]O)|Ã (?=[a-z])"
-    r"|(?<=\p{Ll})[À-ÖØ-Þ]|[¾¶¨˙¤¦§©®±µ¼½¥¢£](?=\p{L})|(?<=\p{L})[¾¶¨˙¤¦§©®±µ¼½¥¢£]|(?<=\p{L})[·´](?=\p{L})|[´°øØ](?=\p{Lu})"
-    r"|[à-öø-ÿ]{3}|[À-ÖØ-öø-ÿ][\u0080-\u009F€‚ƒ„†‡ˆŠ‹ŒŽ‘•™š›žŸ¬­¯¹²³¸]|‚Ä|ÔÇ|ΓÇ|â€"
-    r"|[РСГВ][^\p{IsCyrillic}\s.,;:!?»)\-0-9A-Za-z]|[ЂЃѓљњќћџЎўЈҐєїЄЇЅѕјіІ]"
-    r"|\p{Ll}\?\p{L}|\p{Lu}\?\p{Lu}|(?:^|\s)\?\p{L}|\p{Ll}\? \p{Ll}|&#?\w{2,8};|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|=[0-9A-F]{2}=[0-9A-F]{2}|%[0-9A-F]{2}%[0-9A-F]{2}"
+    r"[\u0000-\u0008\u000B\u000E-\u001F\u007F-\u009F∂-⏿─-▟◊�]"
+    r"|[ÂÃ](?=[^A-Za-zÀ-ÿ\s.,;:)»”?!])|[ÂÃ](?=[À-ÿ])(?![ÂÃ]O)|Ã (?=[a-z])|(?<=\p{Ll})[À-ÖØ-Þ]"
+    r"|[¢-©®±µ¶¼-¾˙](?=\p{L})|(?<=\p{L})[¢-©®±µ¶¼-¾˙]"
+    r"|(?<=\p{L})[·´](?=\p{L})|[´°øØ](?=\p{Lu})|[à-öø-ÿ]{3}|â€"
+    r"|[À-ÖØ-öø-ÿ][\u0080-\u009F¬­¯²³¸¹Œ-ƒˆ‘‚„†-•‹›€™]"
+    r"|‚Ä|ÔÇ|ΓÇ|[В-С][\u0080-¿Ѐ-Џѐ-џҐґ–-™]|[Ђ-Џђ-џҐґ]"
+    r"|(?<=\p{Ll})\?(?=\p{L})|(?<=\p{Lu})\?(?=\p{Lu})|(?<=^|\s)\?(?=\p{L})|(?<=\p{Ll})\?(?= \p{Ll})"
+    r"|&#?\w{2,8};|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|=[0-9A-F]{2}=[0-9A-F]{2}|%[0-9A-F]{2}%[0-9A-F]{2}"
 )
 
 
