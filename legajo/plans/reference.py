@@ -1,4 +1,15 @@
-"""Queries and SQL of the analytics operators."""
+"""Queries and SQL of the analytics operators, gathered from their modules."""
 
+from __future__ import annotations
+
+import importlib
+
+_PARTS = ["ref_pages", "ref_text"]
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in _PARTS:
+    _r = importlib.import_module(f"legajo.plans.{_part}").R
+    if _twice := QUERIES.keys() & _r.queries.keys():
+        raise ValueError(f"two queries are named {_twice}")
+    QUERIES |= _r.queries
+    ORACLES |= _r.oracles
