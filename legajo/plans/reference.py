@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ["ref_pages", "ref_text"]
+_PARTS = ["ref_pages", "ref_text", "ref_joins", "ref_entities", "ref_calibration", "ref_topics", "ref_style"]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _part in _PARTS:
