@@ -125,4 +125,4 @@ def acronyms(sentences: DataFrame, text: str = "text") -> DataFrame:
     initials = lambda e: F.array_join(F.transform(F.filter(e, lambda x: ~F.lower(x).isin("de", "del", "la", "las", "los", "el", "y", "e", "para", "en", "a", "al", "por")), lambda x: F.upper(F.substring(x, F.lit(1), F.lit(1)))), "")
     good = F.filter("ends", lambda e: (initials(e) == F.col("alias")) & F.get(e, F.lit(0)).rlike("^[A-ZÁÉÍÓÚÑ]"))
     kept = found.withColumn("w", words).withColumn("ends", ends).withColumn("good", good).where(F.size("good") > 0)
-    return kept.groupBy("alias").agg(F.min(F.array_join(F.get("good", F.lit(0)), " ")).alias("canonical"))
+    return kept.groupBy("alias").agg(F.min(tx.surface(F.array_join(F.get("good", F.lit(0)), " "))).alias("canonical"))
