@@ -67,10 +67,23 @@ def phrase_count(text: Column, phrases: list[str]) -> Column:
 
 
 def additive_count(text: Column, phrases: list[str]) -> Column:
-    """Each phrase counted for itself and summed, so that overlapping phrases count twice."""
-    total = F.lit(0)
+    """Each phrase counted for itself and summed, so that overlapping phrases count twice.
+
+    Phrases that share no word can not overlap and are counted by one pattern.
+    """
+    groups: list[tuple[set[str], list[str]]] = []
     for p in phrases:
-        total = total + phrase_count(text, [p])
+        words = set(p.split())
+        for seen, members in groups:
+            if not seen & words:
+                seen |= words
+                members.append(p)
+                break
+        else:
+            groups.append((words, [p]))
+    total = F.lit(0)
+    for _, members in groups:
+        total = total + phrase_count(text, members)
     return total
 
 

@@ -126,3 +126,9 @@ def acronyms(sentences: DataFrame, text: str = "text") -> DataFrame:
     good = F.filter("ends", lambda e: (initials(e) == F.col("alias")) & F.get(e, F.lit(0)).rlike("^[A-ZÁÉÍÓÚÑ]"))
     kept = found.withColumn("w", words).withColumn("ends", ends).withColumn("good", good).where(F.size("good") > 0)
     return kept.groupBy("alias").agg(F.min(tx.surface(F.array_join(F.get("good", F.lit(0)), " "))).alias("canonical"))
+
+
+def merge_log(renamed: DataFrame, name: str) -> DataFrame:
+    """name, canonical and how many mentions got another name."""
+    changed = renamed.where(F.col(name) != F.col("canonical"))
+    return changed.groupBy(name, "canonical").agg(F.count(F.lit(1)).alias("n_merged"))

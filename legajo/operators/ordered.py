@@ -56,8 +56,9 @@ def running_sum(df: DataFrame, value: Column, out: str, group: list[str], chunk:
     return d.join(base, [*group, chunk]).withColumn(out, F.col("_in") + F.col("_base")).drop("_v", "_in", "_base")
 
 
-def greedy_segments(df: DataFrame, amount: str, target: int, group: list[str], chunk: str, order: list[str]) -> DataFrame:
+def greedy_segments(df: DataFrame, amount: str, target: int, group: list[str], chunk: str, order: list[str], cap: bool = False) -> DataFrame:
     """segment (from 1): rows in order are put together until their ``amount`` reaches ``target``, then a new segment begins.
+    With ``cap`` a segment ends before a row that would take it beyond ``target`` (a row larger than that stands alone).
 
     What a chunk does to the amount carried in is a function of that amount, of which there are only ``target`` values; the
     functions of all chunks are composed in order, and then each chunk is walked once with the amount it really begins with.
@@ -70,12 +71,17 @@ def greedy_segments(df: DataFrame, amount: str, target: int, group: list[str], c
 
     def effect(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        carry, closed = np.arange(target), np.zeros(target, dtype=np.int64)
-        for a in pdf["_amount"].to_numpy():
-            carry = carry + a
-            full = carry >= target
-            closed += full
-            carry[full] = 0
+        carry, closed = np.arange(target + 1), np.zeros(target + 1, dtype=np.int64)
+        for a in np.minimum(pdf["_amount"].to_numpy(), target):  # what is beyond the target acts like the target
+            if cap:
+                full = (carry > 0) & (carry + a > target)
+                closed += full
+                carry = np.where(full, a, carry + a)
+            else:
+                carry = carry + a
+                full = carry >= target
+                closed += full
+                carry[full] = 0
         return pd.DataFrame([[*pdf[keys].iloc[0], carry.tolist(), closed.tolist()]], columns=[*keys, "_carry", "_closed"])
 
     effects = named.groupBy(*keys).applyInPandas(effect, f"{schema}, _carry array<bigint>, _closed array<bigint>")
@@ -98,7 +104,13 @@ def greedy_segments(df: DataFrame, amount: str, target: int, group: list[str], c
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         carry, done, segments = int(pdf["_begin"].iloc[0]), int(pdf["_done"].iloc[0]), []
-        for a in pdf["_amount"].to_numpy():
+        for a in np.minimum(pdf["_amount"].to_numpy(), target):
+            if cap:
+                if carry > 0 and carry + int(a) > target:
+                    carry, done = 0, done + 1
+                segments.append(done + 1)
+                carry += int(a)
+                continue
             segments.append(done + 1)
             carry += int(a)
             if carry >= target:

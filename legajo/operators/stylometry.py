@@ -15,6 +15,8 @@ from legajo.functions import text as tx
 from legajo.operators.ordered import greedy_segments
 from legajo.session import checkpointed, small_lookup
 
+#: Pages of a document that are walked in one step.
+PAGES_PER_CHUNK = 64
 MARKS = {"comma": ",", "semicolon": ";", "colon": ":", "paren": "(", "dash": "—", "guillemet": "«", "quote": "“", "percent": "%"}
 
 
@@ -23,8 +25,11 @@ def segments(paragraphs: DataFrame, target: int, least: int) -> DataFrame:
 
     A rest of fewer than ``least`` words joins the segment before it. A document of any length is walked in pages.
     """
-    p = paragraphs.select("document_id", "page", "paragraph_id", tx.word_count(F.col("clean_text")).alias("words"))
-    placed = greedy_segments(p, "words", target, ["document_id"], "page", ["paragraph_id"]).join(p, ["document_id", "page", "paragraph_id"])
+    p = paragraphs.select(
+        "document_id", "page", "paragraph_id", tx.word_count(F.col("clean_text")).alias("words"), F.floor(F.col("page") / PAGES_PER_CHUNK).alias("chunk")
+    )
+    keys = ["document_id", "chunk", "page", "paragraph_id"]
+    placed = greedy_segments(p, "words", target, ["document_id"], "chunk", ["page", "paragraph_id"]).join(p, keys)
     sizes = placed.groupBy("document_id", "segment").agg(F.sum("words").alias("size"))
     last = sizes.groupBy("document_id").agg(F.max("segment").alias("last"), F.max_by("size", "segment").alias("rest"))
     short = (F.col("segment") == F.col("last")) & (F.col("rest") < least) & (F.col("segment") > 1)
@@ -32,6 +37,16 @@ def segments(paragraphs: DataFrame, target: int, least: int) -> DataFrame:
     return joined.select("document_id", "page", "paragraph_id", "words", F.when(short, F.col("segment") - 1).otherwise(F.col("segment")).alias("segment"))
 
 
+def passages(sentences: DataFrame, most: int, least: int, by: list[str]) -> DataFrame:
+    """``by``, passage, n_sentences, n_words: consecutive sentences put together up to ``most`` words, never across a change of
+    ``by``; passages of fewer than ``least`` words are dropped, a longer sentence stands alone."""
+    s = sentences.select(*by, "page", "paragraph_id", "sent_no", tx.word_count(F.col("text"), "unicode").alias("words"), F.floor(F.col("page") / PAGES_PER_CHUNK).alias("chunk"))
+    placed = greedy_segments(s, "words", most, by, "chunk", ["page", "paragraph_id", "sent_no"], cap=True)
+    joined = placed.join(s, [*by, "chunk", "page", "paragraph_id", "sent_no"])
+    out = joined.groupBy(*by, F.col("segment").alias("passage")).agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("words").alias("n_words"))
+    return out.where(F.col("n_words") >= least)
+
+
 def segment_texts(placed: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """document_id, segment, text (bounded by the segment's size), n_paragraphs and page_start."""
     rows = placed.join(paragraphs.select("paragraph_id", "clean_text"), "paragraph_id")

@@ -74,3 +74,38 @@ def coherence(topic_terms: DataFrame, tokens: DataFrame, doc: list[str], order:
     p = (F.coalesce("c_ab", F.lit(0)) + 1e-12) / F.col("total")
     npmi = F.log(p / (F.col("c_a") / F.col("total") * (F.col("c_b") / F.col("total")))) / -F.log(p)
     return full.groupBy("topic").agg(F.avg(npmi).alias("npmi"))
+
+
+def nmf(weights: DataFrame, doc: str, k: int, rounds: int = 20, seed: int = 7) -> DataFrame:
+    """doc, topic and weight of a non-negative factorisation of (doc, token, w) by multiplicative updates.
+
+    Both factors stay in long form and are joined by key; only the k x k products of a factor with itself are gathered. Lineage
+    is cut after every round.
+    """
+    from legajo.session import checkpointed, small_lookup
+
+    x = checkpointed(weights.select(F.col(doc).alias("d"), F.col("token").alias("t"), F.col("w").cast("double").alias("w")))
+    start = lambda c, salt: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.pmod(F.xxhash64(c, i, F.lit(seed + salt)), F.lit(10_000)) + 1) / 10_000.0)
+    left = checkpointed(x.select("d").distinct().select("d", start("d", 0).alias("u")))
+    right = checkpointed(x.select("t").distinct().select("t", start("t", 1).alias("v")))
+
+    def gram(f: DataFrame, c: str) -> list[list[float]]:
+        cells = f.select(F.posexplode(c).alias("i", "a"), F.col(c)).select("i", "a", F.posexplode(c).alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+        m = [[0.0] * k for _ in range(k)]
+        for r in small_lookup(cells):
+            m[r["i"]][r["j"]] = r["s"]
+        return m
+
+    def update(mine: DataFrame, key: str, c: str, other: DataFrame, other_key: str, oc: str) -> DataFrame:
+        g = gram(other, oc)
+        cells = x.join(other, other_key).select(key, F.posexplode(F.transform(oc, lambda y: y * F.col("w"))).alias("i", "p"))
+        top = cells.groupBy(key, "i").agg(F.sum("p").alias("p")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("n"))
+        rows = F.array(*[F.array(*[F.lit(y) for y in row]) for row in g])
+        below = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.aggregate(F.zip_with(c, F.get(rows, i), lambda a, b: a * b), F.lit(1e-12), lambda s, y: s + y))
+        fresh = F.zip_with(F.zip_with(c, F.transform("n", lambda s: s["p"]), lambda a, b: a * b), below, lambda a, b: a / b)
+        return checkpointed(mine.join(top, key).select(key, fresh.alias(c)))
+
+    for _ in range(rounds):
+        right = update(right, "t", "v", left, "d", "u")
+        left = update(left, "d", "u", right, "t", "v")
+    return dominant(left.withColumnRenamed("d", doc), doc, "u")

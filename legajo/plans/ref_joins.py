@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from legajo.functions import text as tx
 from legajo.functions.lexicons import SOURCE_PRIORITY
-from legajo.operators import integrity as it, statistics as st
+from legajo.operators import entities as en, integrity as it, statistics as st
 from legajo.operators.packed import packed_values
 from legajo.plans import corpus as co
 from legajo.plans.corpus import C, E, L, P, Registry
@@ -65,6 +66,17 @@ R.add(
     rf"""with {E}, {L}, n as (select distinct source_name from e), a as (select distinct regexp_extract(organisation, '(\S+)$', 1) as alias, organisation as canonical from l where organisation is not null)
 select source_name, coalesce((select min(canonical) from a where alias = source_name), (select min(canonical) from a where lower(canonical) = lower(source_name)), source_name) as canonical from n""",
 )
+R.add(
+    "alias_merges",
+    lambda s, d: en.merge_log(
+        it.aliased(
+            co.evidence(s, d).select(F.upper("source_name").alias("source_name")), "source_name",
+            co.ledger(s, d).select(F.lit("-").alias("alias"), F.col("organisation").alias("canonical")).where("organisation is not null").distinct(),
+        ), "source_name",
+    ),
+    f"""with {E}, {L}, a as (select lower(organisation) as low, min(organisation) as canonical from l where organisation is not null group by 1)
+select upper(source_name) as source_name, canonical, count(*) as n_merged from e join a on lower(source_name) = low where upper(source_name) <> canonical group by all""",
+)
 R.add(
     "listed_sources",
     lambda s, d: it.listed_sources(co.claims(s, d), co.ledger(s, d)),
@@ -206,6 +218,11 @@ R.add(
     f"""with {C} select claim_id, round(round(numeric_value) - numeric_value, 6) as difference_absolute,
  case when numeric_value <> 0 then round(100 * (round(numeric_value) - numeric_value) / numeric_value, 4) end as difference_percent from c where numeric_value is not null""",
 )
+R.add(
+    "plain_excerpts",
+    lambda s, d: co.evidence(s, d).select(F.md5(tx.collapsed(tx.without_markup(F.concat(F.lit("## Nota\n- **x** "), "evidence_excerpt")))).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")),
+    rf"""with {E} select md5(trim(regexp_replace('Nota' || chr(10) || 'x ' || evidence_excerpt, '\s+', ' ', 'g'))) as digest, count(*) as n from e group by 1""",
+)
 # --- star schema and events: the relational core on larger tables ---
 R.add(
     "orders_without_lines",

@@ -41,6 +41,18 @@ R.add(
     lambda s, d: _texts(s, d).select("document_id", "segment", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), "n_paragraphs", "page_start"),
     _SEG + " select document_id, segment, length(text)::int as n_chars, md5(text) as digest, n_paragraphs, page_start from tx",
 )
+R.add(
+    "capped_passages",
+    lambda s, d: sy.passages(co.sentences(s, d).where(F.col("chapter").isNotNull()), 80, 40, ["document_id", "chapter"]),
+    rf"""with recursive {co.S}, o as (select document_id, chapter, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) as words,
+ row_number() over (partition by document_id, chapter order by page, paragraph_id, sent_no) as rn from s where chapter is not null),
+walk(document_id, chapter, rn, carry, passage) as (
+ select document_id, chapter, 0::bigint, 0::bigint, 1::bigint from (select distinct document_id, chapter from o)
+ union all select w.document_id, w.chapter, o.rn, case when w.carry > 0 and w.carry + least(o.words, 80) > 80 then least(o.words, 80) else w.carry + least(o.words, 80) end,
+  w.passage + case when w.carry > 0 and w.carry + least(o.words, 80) > 80 then 1 else 0 end
+ from walk w join o on o.document_id = w.document_id and o.chapter = w.chapter and o.rn = w.rn + 1)
+select document_id, chapter, passage, count(*) as n_sentences, sum(words)::bigint as n_words from o join walk using (document_id, chapter, rn) group by all having sum(words) >= 40""",
+)
 _SYL = """list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouáéíóúü]+'))
  + len(list_filter(range(2, length(x) + 1), lambda i: contains('aeoáéíóú', x[i]) and contains('aeoáéíóú', x[i - 1]))))))"""
 _MARKS = ", ".join(f"round((length(text) - length(replace(text, '{m}', ''))) / greatest(length(text), 1) * 1000, 3) as {k}_per_1k_chars" for k, m in sy.MARKS.items())
