@@ -193,6 +193,8 @@ def implausibility(word: str) -> float:
             cost += 3.0
         if before and ord(before) >= 0x80 and before.isalpha() and ord(before) < 0x250 and ch in "¡¢£¤¥¦§¨©«¬®¯±²³´µ¶·¸¹º¼½¾":
             cost += 1.5
+        if before in ("ø", "Ø") and ch.isupper() or before == "Ô" and ch == "Ç":
+            cost += 2.0
         if before in ("Ã", "Â") and not ch.isascii() and ch not in "ÇÕÃÂ":
             cost += 2.0
         if before and before in "âãäåæçèéÐÑØÙà" and ch in "€‚ƒ„†‡ˆ‰Š‹ŒŽ•™š›žŸ":
