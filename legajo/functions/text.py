@@ -44,7 +44,9 @@ def cleaned(text: Column, compose: bool = False) -> Column:
 
 
 def word_list(text: Column, kind: str = "letters") -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORDS[kind]})"), F.lit(1))
+    """All words of a text, by one of the named definitions."""
+    pattern = WORDS[kind].replace(")*", ")*+")  # possessive groups are walked in a loop, however many hyphens there are
+    return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
 
 def word_count(text: Column, kind: str = "letters") -> Column:

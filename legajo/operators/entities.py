@@ -20,7 +20,7 @@ def mentions(sentences: DataFrame, text: str = "text", keys: list[str] | None =
     keys = keys or ["document_id", "paragraph_id", "sent_no", "page", "level2"]
     typed = F.array(
         *[F.struct(F.lit(kind).alias("entity_type"), F.lit("pattern").alias("method"), F.regexp_extract_all(text, F.lit(f"({rx})"), F.lit(1)).alias("found")) for kind, rx in TYPES.items()],
-        F.struct(F.lit("NAME").alias("entity_type"), F.lit("capitals").alias("method"), F.regexp_extract_all(text, F.lit(f"({NAME})"), F.lit(1)).alias("found")),
+        F.struct(F.lit("NAME").alias("entity_type"), F.lit("capitals").alias("method"), F.regexp_extract_all(text, F.lit(f"({NAME}+)"), F.lit(1)).alias("found")),  # possessive
     )
     rows = sentences.select(*keys, F.explode(typed).alias("m")).select(*keys, "m.entity_type", "m.method", F.explode("m.found").alias("raw"))
     return rows.select(*keys, tx.surface(F.col("raw")).alias("entity"), "entity_type", "method").where(F.length("entity") > 1)

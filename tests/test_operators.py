@@ -158,3 +158,11 @@ def test_divergence_and_units(spark):
     got = one(spark, "p array<double>, q array<double>", [([1.0, 0.0], [0.0, 1.0]), ([2.0, 2.0], [1.0, 1.0])], ve.divergence(F.col("p"), F.col("q")))
     assert got[0][0] == pytest.approx(1, abs=1e-6) and got[1][0] == pytest.approx(0, abs=1e-9)
     assert one(spark, "v array<double>", [([3.0, 4.0],), ([0.0, 0.0],)], ve.unit(F.col("v"))) == [([0.6, 0.8],), ([0.0, 0.0],)]
+
+
+def test_very_long_words_and_names(spark):
+    text = "x-" * 100_000 + " " + "Fondo Regional " * 20_000
+    got = one(spark, "t string", [(text,)], tx.word_count(F.col("t"), "hyphenated"), tx.word_count(F.col("t"), "letters"))
+    assert got == [(40_001, 140_000)]
+    rows = spark.createDataFrame([("d", "p", 1, 1, "s", text)], "document_id string, paragraph_id string, sent_no int, page int, level2 string, text string")
+    assert en.mentions(rows).where("entity_type = 'NAME'").count() == 1
