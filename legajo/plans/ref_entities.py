@@ -160,10 +160,14 @@ select x.token as a, y.token as b, count(*) as weight from q x join q y on x.par
 _TERMS = ["obras", "contrato", "compras", "energía", "agua", "aguas", "control", "plan", "registro", "censo", "usuarios", "red", "acueducto", "mantenimiento"]
 
 
+def _supply_links(lines):
+    """The distinct pairs of part and supplier of order lines as a bipartite graph."""
+    return lines.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
+
+
 def _supply(s, d):
-    """Parts and suppliers of a few thousand order lines as a bipartite graph."""
-    rows = table(s, d, "lineitem").where("l_linenumber = 1 and l_quantity >= 49").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
-    return rows.distinct().withColumn("weight", F.lit(1))
+    """Parts and suppliers of a few thousand order lines only: the small graph that ``connected_components`` shares with its SQL."""
+    return _supply_links(table(s, d, "lineitem").where("l_linenumber = 1 and l_quantity >= 49")).withColumn("weight", F.lit(1))
 
 
 R.add(
@@ -174,3 +178,6 @@ u as (select a, b from g union select b, a from g), n as (select distinct a from
 r(node, c) as (select a, a from n union select r.node, u.b from r join u on u.a = r.c)
 select node, min(c) as component from r group by 1""",
 )
+# The whole graphs; recursive SQL walks every pair of nodes there, so they have none and are tested against brute force.
+R.add("supply_components", lambda s, d: en.components(_supply_links(table(s, d, "lineitem"))))
+R.add("entity_components", lambda s, d: en.components(_edges(s, d)))

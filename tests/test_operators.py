@@ -115,6 +115,33 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {got[f"n{i:03d}"] for i in range(61)} == {"n000"} and {got[f"t{i}"] for i in range(30)} == {"s0"}
 
 
+def test_components_of_whole_graphs_match_brute_force(spark, data):
+    import __spark_entry__ as entry
+    from legajo.session import table
+
+    qs = entry.queries()
+    pairs = table(spark, data, "lineitem").select("l_partkey", "l_suppkey").distinct().collect()
+    graphs = {
+        "supply_components": [(f"p{r[0]}", f"s{r[1]}") for r in pairs if None not in r],
+        "entity_components": [(r["a"], r["b"]) for r in qs["entity_network"](spark, data).collect()],
+    }
+    for name, edges in graphs.items():
+        near: dict[str, set[str]] = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        want: dict[str, str] = {}
+        for node in sorted(near):
+            todo = [node] if node not in want else []
+            while todo:
+                x = todo.pop()
+                if x not in want:
+                    want[x] = node
+                    todo += near[x]
+        got = qs[name](spark, data).collect()
+        assert len(got) == len(want) > 0 and {r["node"]: r["component"] for r in got} == want
+
+
 def test_intervals():
     assert ca.proportion_interval(7, 144) == pytest.approx((0.01976, 0.09759), abs=1e-5)
     assert ca.proportion_interval(9, 144) == pytest.approx((0.02897, 0.11532), abs=1e-5)
