@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def counted(tokens: DataFrame, doc: str, least_docs: int = 3, most_share: float = 0.5, vocabulary: int = 20_000):
-    """Count vectors of documents (doc, features) and the vocabulary, by the library's vectoriser."""
+def counted(tokens: DataFrame, doc: str, least_docs: int = 3, most_share: float = 0.5, vocabulary: int = 2**31 - 1):
+    """Count vectors of documents (doc, features) and the vocabulary, by the library's vectoriser: all terms between the two bounds."""
     from pyspark.ml.feature import CountVectorizer
 
     docs = tokens.groupBy(doc).agg(F.collect_list("token").alias("words"))
@@ -15,12 +15,25 @@ def counted(tokens: DataFrame, doc: str, least_docs: int = 3, most_share: float
     return model.transform(docs).select(doc, "features"), model.vocabulary
 
 
-def lda(vectors: DataFrame, doc: str, k: int, iterations: int = 15, seed: int = 42):
-    """(doc, topic, weight) of the dominant topic of each document, and the model."""
-    from pyspark.ml.clustering import LDA
+def lda(vectors: DataFrame, doc: str, k: int, iterations: int = 60, seed: int = 42):
+    """(doc, topic, weight) of the dominant topic of each document, and the model.
+
+    Batch variational Bayes: each pass reads every document once and puts its statistics in place of the former topics. The
+    library's estimator draws with replacement even where subsamplingRate is 1, so its optimiser is set by its own classes.
+    """
+    from pyspark.ml.clustering import LocalLDAModel
     from pyspark.ml.functions import vector_to_array
 
-    model = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online", docConcentration=[0.1], topicConcentration=0.01).fit(vectors)
+    from legajo.session import checkpointed
+
+    spark = vectors.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    vectors = checkpointed(vectors.select(doc, "features").repartition(parts, doc))  # read in every pass
+    old, new = spark._jvm.org.apache.spark.mllib.clustering, spark._jvm.org.apache.spark.ml.clustering
+    every = old.OnlineLDAOptimizer().setMiniBatchFraction(1.0).setSampleWithReplacement(False).setKappa(0.0)  # weight of a pass: 1
+    fit = old.LDA().setK(k).setSeed(seed).setMaxIterations(iterations).setDocConcentration(0.1).setTopicConcentration(0.01).setOptimizer(every)
+    topics = fit.run(getattr(getattr(new, "LDA$"), "MODULE$").getOldDataset(vectors._jdf, "features"))
+    model = LocalLDAModel(new.LocalLDAModel(f"lda_{seed}", topics.vocabSize(), topics, spark._jsparkSession))
     shares = model.transform(vectors).select(doc, vector_to_array("topicDistribution").alias("w"))
     return dominant(shares, doc, "w"), model
 

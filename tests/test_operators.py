@@ -13,6 +13,7 @@ from legajo.operators import integrity as it
 from legajo.operators import pages as pg
 from legajo.operators import statistics as st
 from legajo.operators import stylometry as sy
+from legajo.operators import topics as to
 from legajo.operators import vectors as ve
 
 
@@ -193,3 +194,21 @@ def test_very_long_words_and_names(spark):
     assert got == [(40_001, 140_000)]
     rows = spark.createDataFrame([("d", "p", 1, 1, "s", text)], "document_id string, paragraph_id string, sent_no int, page int, level2 string, text string")
     assert en.mentions(rows).where("entity_type = 'NAME'").count() == 1
+
+
+def test_every_document_enters_the_topics(spark):
+    rng = random.Random(3)
+    docs = {f"d{i}": [rng.choice(["pan", "sal", "mar"] if i % 2 else ["ley", "voto", "juez"]) for _ in range(12)] for i in range(40)}
+    tokens = spark.createDataFrame([(k, t) for k, ts in docs.items() for t in ts], "d string, token string")
+    vectors, words = to.counted(tokens, "d", most_share=0.9)
+    got, model = to.lda(vectors, "d", 2)
+    counts = {w: sum(ts.count(w) for ts in docs.values()) for w in words}
+    assert dict(zip(words, model.topicsMatrix().toArray().sum(axis=1), strict=True)) == pytest.approx({w: n + 2 * 0.01 for w, n in counts.items()}, rel=1e-6)
+    topic = {r["d"]: r["topic"] for r in got.collect()}
+    assert len(topic) == 40 and len({(k, int(d[1:]) % 2) for d, k in topic.items()}) == 2
+
+
+def test_vocabulary_is_not_capped(spark):
+    words = spark.range(3 * 20_500).select((F.col("id") % 3).cast("string").alias("d"), F.concat(F.lit("t"), F.floor(F.col("id") / 3)).alias("token"))
+    others = spark.range(3, 8).select(F.col("id").cast("string").alias("d"), F.lit("x").alias("token"))
+    assert len(to.counted(words.unionByName(others), "d")[1]) == 20_500
