@@ -128,6 +128,6 @@ R.add("lda_topics", _lda)
 R.add(
     "nmf_topics",
     lambda s, d: to.nmf(
-        st.tf_idf(co.tokens(s, d).where(F.col("level2").isNotNull() & (F.length("token") > 3)), ["level2"]).select("level2", "token", F.col("tfidf").alias("w")), "level2", 4, rounds=4
+        st.tf_idf(co.tokens(s, d).where(F.col("level2").isNotNull() & (F.length("token") > 3)), ["level2"]).select("level2", "token", F.col("tfidf").alias("w")), "level2", 4
     ),
 )

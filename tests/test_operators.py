@@ -212,3 +212,14 @@ def test_vocabulary_is_not_capped(spark):
     words = spark.range(3 * 20_500).select((F.col("id") % 3).cast("string").alias("d"), F.concat(F.lit("t"), F.floor(F.col("id") / 3)).alias("token"))
     others = spark.range(3, 8).select(F.col("id").cast("string").alias("d"), F.lit("x").alias("token"))
     assert len(to.counted(words.unionByName(others), "d")[1]) == 20_500
+
+
+def test_factorisation_runs_until_the_error_stops_falling(spark):
+    rng = np.random.default_rng(1)
+    u = np.repeat(np.eye(2), 6, axis=0) * rng.uniform(1, 3, (12, 1)) + 0.3
+    x = u @ rng.uniform(0, 1, (2, 9))
+    rows = spark.createDataFrame([(f"d{i:02d}", f"t{j}", float(x[i, j])) for i in range(12) for j in range(9)], "d string, token string, w double")
+    topic = {r["d"]: r["topic"] for r in to.nmf(rows, "d", 2).collect()}
+    assert len(topic) == 12 and len({(topic[f"d{i:02d}"], i // 6) for i in range(12)}) == 2
+    with pytest.raises(RuntimeError, match="still improves"):
+        to.nmf(rows, "d", 2, rounds=2)
