@@ -42,10 +42,6 @@ SUSPECT = (
 )
 
 
-def suspect(text: Column) -> Column:
-    return text.rlike(SUSPECT)
-
-
 @lru_cache(maxsize=32)
 def _byte_of(codec: str) -> dict[int, int]:
     """Code point -> byte; bytes that a mapping leaves open stand for themselves, as readers leave them."""
@@ -135,6 +131,8 @@ _FREQUENT = set("áéíóúñüÁÉÍÓÚÑºª")
 _WESTERN = set("áéíóúüñçãõâêôàèìòùïëîûäößœæÁÉÍÓÚÜÑÇÃÕÂÊÔÀÈÌÒÙÏËÎÛÄÖŒÆåÅøØ")
 _EDGE = set("«»“”„‘’‚—–‐‑…¿¡°ºª²³‰€•¬­   №​﻿、。，！？：；「」『』（）・【】《》〈〉、؛؟،।॥")
 _INNER = set("’‘—–‐‑‰€°ºª²³…»«”“„¿¡­   ¬@•、。，！？：；「」『』（）・【】《》؛؟،।॥")
+#: Signs that are no part of words but that a mapping makes of ö, ä and the like.
+_FOR_LETTERS = set("ˆˇ‰")
 _PAIRS = {"çã", "çõ", "ÇÃ", "ÇÕ", "ñó", "ñí", "ñé", "ñá", "íñ", "éñ", "ñú", "ÑÓ", "œu", "éé", "ãç", "íó", "íá", "áí", "óí", "éí"}
 
 
@@ -193,6 +191,8 @@ def implausibility(word: str) -> float:
             cost += 3.0
         if before and ord(before) >= 0x80 and before.isalpha() and ord(before) < 0x250 and ch in "¡¢£¤¥¦§¨©«¬®¯±²³´µ¶·¸¹º¼½¾":
             cost += 1.5
+        if ch in _FOR_LETTERS and (word[i + 1 : i + 2].isalpha() or ch != "‰" and before.isalpha()) or ch == "€" and before.isalpha() and word[i + 1 : i + 2].isalpha():
+            cost += 3.0
         if before in ("ø", "Ø") and ch.isupper() or before == "Ô" and ch == "Ç":
             cost += 2.0
         if before in ("Ã", "Â") and not ch.isascii() and ch not in "ÇÕÃÂ":
@@ -209,6 +209,40 @@ def implausibility(word: str) -> float:
     return cost
 
 
+def _class(chars: set[str]) -> str:
+    return "[" + "".join(f"\\u{ord(c):04X}" for c in sorted(chars)) + "]"
+
+
+def _of_letters() -> str:
+    """The pattern of what the mappings make of letters, from their tables: pairs that UTF-8 letters are read as, and characters
+    that stand for a letter beside others. Letters of Western and Russian words count by their neighbours only, signs that words
+    may hold or end with only where the cost of a word counts them."""
+    found = []
+    for codec in UTF8_READ_BY:
+        of = {b: chr(point) for point, b in _byte_of(codec).items()}
+        found.append(_class({of[b] for b in range(0xC2, 0xC6)}) + _class({of[b] for b in range(0x80, 0xC0)}))
+    made = {chr(p) for pair in SINGLE_BYTE for p, c in _remap(*pair).items() if c.isalpha() and chr(p) != c}
+    greek = {c for c in made if _script(c) == "G"}
+    plain = {c for c in made - greek if c.isalpha() and c not in _FOR_LETTERS and _alone(c) < GAIN}
+    inner = {c for c in made if c in _EDGE and c not in _INNER}
+    other = made - greek - plain - inner - _INNER | _FOR_LETTERS
+    found += [
+        rf"(?<=\p{{L}}){_class(other)}|{_class(other)}(?=\p{{L}})",
+        rf"(?<=\p{{L}}){_class(inner)}(?=\p{{L}})",
+        rf"\p{{IsLatin}}{{2}}{_class(greek)}|{_class(greek)}\p{{IsLatin}}{{2}}|\p{{IsLatin}}{_class(greek)}\p{{IsLatin}}",  # not single letters: kΩ, σx
+        r"\p{IsLatin}{2}\p{IsCyrillic}|\p{IsCyrillic}\p{IsLatin}{2}|\p{IsLatin}\p{IsCyrillic}\p{IsLatin}",
+        r"(?<![\p{L}])ß(?=\p{L})|(?<=[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ])ß",
+    ]
+    return "|".join(found)
+
+
+SUSPECT += "|" + _of_letters()
+
+
+def suspect(text: Column) -> Column:
+    return text.rlike(SUSPECT)
+
+
 _MISREAD = set("þªº@°")  # what scans make of letters; no evidence of a wrong mapping
 
 

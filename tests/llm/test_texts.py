@@ -141,3 +141,22 @@ def test_scores_match_brute_force(spark):
     best = terms.most_characteristic(terms.term_scores(df, probes, "k", "t"), "k").collect()
     assert [(r["k"], r["term"]) for r in best] == [("a", "zafiro")]
     assert terms.term_scores(df.limit(0), probes, "k", "t").count() == 0
+
+
+def test_texts_that_the_search_restores_are_suspect(spark):
+    made = {"Baugenehmigungsbehˆrde": "Baugenehmigungsbehörde", "Verg¸tung": "Vergütung", "M‰rz": "März", "pßgina": "página", "tΘcnico": "técnico", "autonomφa": "autonomía"}
+    for w, right in made.items():
+        assert encoding.restored_word(w) == (right, True)
+    words = ["página", "técnico", "autonomía", "gestión", "según", "compañía", "Vergütung", "Behörde", "März", "ÍNDICE", "señal", "français", "São"]
+    for w in words:
+        for codec in encoding.UTF8_READ_BY:
+            made["".join({b: chr(p) for p, b in encoding._byte_of(codec).items()}[b] for b in w.encode())] = w
+        for read_by, written_by in encoding.SINGLE_BYTE:
+            if written_by != "cp1251":
+                made["".join({b: chr(p) for p, b in encoding._byte_of(read_by).items()}[b] for b in w.encode(written_by, "ignore"))] = w
+    garbled = [(w,) for w in made if encoding.restored_word(w)[1]]
+    assert len(garbled) > 80
+    assert spark.createDataFrame(garbled, "t string").where(~encoding.suspect(F.col("t"))).collect() == []
+    plain = [("Straße, Größe, d’or, 5‰ y 3 €; «año» — compañía… lingüística",)]
+    assert spark.createDataFrame(plain, "t string").where(encoding.suspect(F.col("t"))).collect() == []
+    assert not any(encoding.restored_word(w)[1] for w in ("Straße", "d’or", "5‰", "€", "compañía"))
