@@ -2,8 +2,11 @@
 
 The search for the right text is a best-first search over a graph: states are texts, edges are "encode with the mapping
 it was wrongly read by, decode with the right one" and unescaping; seen states are kept by hash, and the cost of a state is
-the implausibility of its characters plus a small price for each step. The cheapest reachable text wins. Words are searched
-one by one (a record is often garbled in part only) and remembered, as the same words come again and again.
+the implausibility of its characters plus a small price for each step. The cheapest reachable text wins: the search ends when
+the price of one more step cannot be won back, not before. The graph is finite: reading UTF-8 makes a text shorter, and two
+changes of single-byte mapping in a row count as one, so they do not follow each other. A step encodes a whole run of
+non-ASCII characters or leaves it. Words are searched one by one (a record is often garbled in part only) and remembered, as
+the same words come again and again.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ SINGLE_BYTE = (("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp437", "cp1252")
 #: Price of a step, and how much cheaper a text must get to count as restored.
 STEP = 0.3
 GAIN = 1.0
-#: States looked at for one word.
-STATES = 200
+#: Price of letters of two scripts side by side.
+MIXED = 3.0
 
 #: Anything that a garbled text has; a superset, checked afterwards (one pass of one pattern inside the JVM).
 SUSPECT = (
@@ -54,39 +57,60 @@ def _byte_of(codec: str) -> dict[int, int]:
     return table
 
 
-_UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+def _class(chars: set[str]) -> str:
+    return "[" + "".join(f"\\u{ord(c):04X}" for c in sorted(chars)) + "]"
+
+
+@lru_cache(maxsize=32)
+def _utf8_in(codec: str) -> re.Pattern:
+    """The pattern of the characters of ``codec`` whose bytes are one character of UTF-8."""
+    of = {b: chr(point) for point, b in _byte_of(codec).items()}
+    tail = _class({of[b] for b in range(0x80, 0xC0)})
+    two, three, four = (_class({of[b] for b in r}) for r in (range(0xC2, 0xE0), range(0xE0, 0xF0), range(0xF0, 0xF5)))
+    return re.compile(f"{two}{tail}|{three}{tail}{{2}}|{four}{tail}{{3}}")
+
+
+@lru_cache(maxsize=1)
+def _movable() -> frozenset[int]:
+    """Code points that some step other than unescaping may change."""
+    codecs = {*UTF8_READ_BY, *(c for pair in SINGLE_BYTE for c in pair)}
+    return frozenset(point for c in codecs for point in _byte_of(c) if point >= 0x80)
+
+
+@lru_cache(maxsize=1)
+def _runs() -> re.Pattern:
+    return re.compile(_class({chr(point) for point in _movable()}) + "+")
 
 
 def _reread_utf8(text: str, codec: str) -> str:
-    """Every run of characters that are bytes of ``codec`` is read as UTF-8 where it is; the rest stays."""
-    table, out, run = _byte_of(codec), [], bytearray()
-    kept: list[str] = []
-
-    def flush() -> None:
-        at = 0
-        data = bytes(run)
-        for m in _UTF8.finditer(data):
-            try:
-                ch = m.group().decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            out.extend(kept[at : m.start()])
-            out.append(ch)
-            at = m.end()
-        out.extend(kept[at:])
-        run.clear()
-        kept.clear()
-
-    for ch in text:
-        b = table.get(ord(ch))
-        if b is None:
-            flush()
-            out.append(ch)
-        else:
-            run.append(b)
-            kept.append(ch)
-    flush()
-    return "".join(out)
+    """Runs of movable characters that ``codec`` can encode are encoded and read as UTF-8 where they are; the rest stays."""
+    table, signs = _byte_of(codec), _utf8_in(codec)
+
+    def read(m: re.Match) -> str:
+        try:
+            return bytes(table[ord(c)] for c in m.group()).decode("utf-8")
+        except UnicodeDecodeError:
+            return m.group()
+
+    def run(m: re.Match) -> str:
+        r = m.group()
+        return signs.sub(read, r) if len(r) > 1 and all(ord(c) in table for c in r) else r
+
+    return _runs().sub(run, text)
+
+
+def _change(text: str, pair: tuple[str, str]) -> str:
+    """Runs of movable characters that the first mapping can encode are read by the second, if it can read them."""
+    table = _remap(*pair)
+
+    def run(m: re.Match) -> str:
+        r = m.group()
+        if not all(ord(c) in table for c in r):
+            return r
+        new = r.translate(table)
+        return r if "�" in new else new
+
+    return _runs().sub(run, text)
 
 
 @lru_cache(maxsize=32)
@@ -101,6 +125,9 @@ def _remap(read_by: str, written_by: str) -> dict[int, str]:
     return table
 
 
+_ESCAPE = re.compile(r"&#?\w{2,8};|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|(?:%[0-9A-F]{2}){2}|(?:=[0-9A-F]{2}){2}")
+
+
 def _unescape(text: str) -> str:
     t = html.unescape(text)
     t = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1), 16)), t)
@@ -115,14 +142,15 @@ def _unescape(text: str) -> str:
     return re.sub(r"(?:%[0-9A-F]{2}){2,}|(?:=[0-9A-F]{2}){2,}", quoted, t)
 
 
-def neighbours(text: str) -> Iterator[str]:
-    """The texts one step away."""
+def neighbours(text: str, changed: bool = False) -> Iterator[tuple[str, bool]]:
+    """The texts one step away, each with whether a change of single-byte mapping made it; ``changed``: one made ``text``."""
     for codec in UTF8_READ_BY:
-        yield _reread_utf8(text, codec)
-    for read_by, written_by in SINGLE_BYTE:
-        yield text.translate(_remap(read_by, written_by))
+        yield _reread_utf8(text, codec), False
+    if not changed:
+        for pair in SINGLE_BYTE:
+            yield _change(text, pair), True
     if "&" in text or "\\" in text or "%" in text or "=" in text:
-        yield _unescape(text)
+        yield _unescape(text), False
 
 
 #: The likeliest accented letters; they decide between readings that are otherwise alike (fixed values).
@@ -131,20 +159,32 @@ _FREQUENT = set("áéíóúñüÁÉÍÓÚÑºª")
 _WESTERN = set("áéíóúüñçãõâêôàèìòùïëîûäößœæÁÉÍÓÚÜÑÇÃÕÂÊÔÀÈÌÒÙÏËÎÛÄÖŒÆåÅøØ")
 _EDGE = set("«»“”„‘’‚—–‐‑…¿¡°ºª²³‰€•¬­   №​﻿、。，！？：；「」『』（）・【】《》〈〉、؛؟،।॥")
 _INNER = set("’‘—–‐‑‰€°ºª²³…»«”“„¿¡­   ¬@•、。，！？：；「」『』（）・【】《》؛؟،।॥")
+_SMALL = {c for c in _FREQUENT if c.islower()}
+_QUOTES = set("«»“”„")
+_AFTER_LEADS = set("€‚ƒ„†‡ˆ‰Š‹ŒŽ•™š›žŸ")
+_ACCENTS = set("\u0300\u0301\u0302\u0303\u0308\u030A\u0327")
 #: Signs that are no part of words but that a mapping makes of ö, ä and the like.
 _FOR_LETTERS = set("ˆˇ‰")
 _PAIRS = {"çã", "çõ", "ÇÃ", "ÇÕ", "ñó", "ñí", "ñé", "ñá", "íñ", "éñ", "ñú", "ÑÓ", "œu", "éé", "ãç", "íó", "íá", "áí", "óí", "éí"}
 
 
+@lru_cache(maxsize=4096)
 def _script(ch: str) -> str:
+    """The script of a letter; scripts that stand together in one word count as one."""
     o = ord(ch)
-    if o < 0x250:
-        return "L"
-    if 0x370 <= o < 0x400:
-        return "G"
+    if o < 0x250 or 0x1E00 <= o < 0x1F00 or 0xFB00 <= o < 0xFB07:
+        return "Latin"
+    if 0x2E80 <= o < 0xA000 or 0xF900 <= o < 0xFAFF or 0xFF00 <= o < 0xFFF0 or o >= 0x20000:
+        return "Han and Kana"
+    if 0xAC00 <= o < 0xD7FC or 0x1100 <= o < 0x1200:
+        return "Hangul"
     if 0x400 <= o < 0x530:
-        return "C"
-    return "O"
+        return "Cyrillic"
+    if 0x370 <= o < 0x400:
+        return "Greek"
+    if 0x600 <= o < 0x780 or 0xFB50 <= o < 0xFF00:
+        return "Arabic"
+    return f"block {o >> 7}"
 
 
 @lru_cache(maxsize=4096)
@@ -168,9 +208,29 @@ def _alone(ch: str) -> float:
     return 0.0 if ch in _EDGE else 3.0
 
 
+def _mixed(before: str, ch: str) -> bool:
+    return before.isalpha() and ch.isalpha() and _script(ch) != _script(before)
+
+
+def unavoidable(word: str, escaped: bool) -> float:
+    """What every text reachable from ``word`` costs at least: its characters that no step changes, and their neighbours."""
+    cost, before = 0.0, ""
+    for ch in word:
+        o = ord(ch)
+        if o in _movable() or (escaped and o < 0x80):
+            before = ""
+            continue
+        if o >= 0x80 or o < 0x20:
+            cost += _alone(ch)
+        if before and _mixed(before, ch):
+            cost += MIXED
+        before = ch
+    return cost
+
+
 def implausibility(word: str) -> float:
     """Cost of a word: unlikely characters, signs inside it, capitals after small letters, mixed scripts."""
-    cost, before = 0.0, ""
+    cost, quoted, before = 0.0, 0.0, ""
     letters_after = [False] * (len(word) + 1)
     for i in range(len(word) - 1, -1, -1):
         letters_after[i] = letters_after[i + 1] or word[i].isalpha()
@@ -187,30 +247,28 @@ def implausibility(word: str) -> float:
                         cost += 1.5
                 if ch.isupper() and before.islower() and o < 0x530:
                     cost += 3.0
-        if before and ch.isalpha() and before.isalpha() and _script(ch) != _script(before) and "O" not in (_script(ch), _script(before)):
-            cost += 3.0
-        if before and ord(before) >= 0x80 and before.isalpha() and ord(before) < 0x250 and ch in "¡¢£¤¥¦§¨©«¬®¯±²³´µ¶·¸¹º¼½¾":
+        if (o >= 0x250 or before and ord(before) >= 0x250) and _mixed(before, ch):
+            cost += MIXED
+        if before and ord(before) >= 0x80 and before.isalpha() and ord(before) < 0x250 and ch in "¡¢£¤¥¦§¨©«¬®¯±²³´µ¶·¸¹º¼½¾" and (ch not in "¡«¬" or before not in _SMALL):
             cost += 1.5
         if ch in _FOR_LETTERS and (word[i + 1 : i + 2].isalpha() or ch != "‰" and before.isalpha()) or ch == "€" and before.isalpha() and word[i + 1 : i + 2].isalpha():
             cost += 3.0
         if before in ("ø", "Ø") and ch.isupper() or before == "Ô" and ch == "Ç":
             cost += 2.0
-        if before in ("Ã", "Â") and not ch.isascii() and ch not in "ÇÕÃÂ":
+        if before in ("Ã", "Â") and not ch.isascii() and ch not in "ÇÕÃÂ" or before == "Å" and ch in _QUOTES:
             cost += 2.0
-        if before and before in "âãäåæçèéÐÑØÙà" and ch in "€‚ƒ„†‡ˆ‰Š‹ŒŽ•™š›žŸ":
+        if not quoted and ch in _QUOTES and before.isalpha() and word[i + 1 : i + 2].isalpha():
+            quoted = 0.9  # quotation marks between letters: a missing blank, or a letter
+        if before and before in "âãäåæçèéÐÑØÙà" and ch in _AFTER_LEADS:
             cost += 2.0
-        if before.isalpha() and ord(before) < 0x250 and unicodedata.category(ch) == "Mn":
-            cost += 0.5
+        if 0x300 <= o < 0x370:
+            cost += 0.5 if before.isalpha() and ch in _ACCENTS else 3.0
         if ch in "¼½¾" and before.isalpha():
             cost += 3.0
         if ch == "ß" and (not before or before.lower() in "bcdfghjklmnpqrstvwxz"):
             cost += 2.5
         before = ch
-    return cost
-
-
-def _class(chars: set[str]) -> str:
-    return "[" + "".join(f"\\u{ord(c):04X}" for c in sorted(chars)) + "]"
+    return cost + quoted
 
 
 def _of_letters() -> str:
@@ -222,7 +280,7 @@ def _of_letters() -> str:
         of = {b: chr(point) for point, b in _byte_of(codec).items()}
         found.append(_class({of[b] for b in range(0xC2, 0xC6)}) + _class({of[b] for b in range(0x80, 0xC0)}))
     made = {chr(p) for pair in SINGLE_BYTE for p, c in _remap(*pair).items() if c.isalpha() and chr(p) != c}
-    greek = {c for c in made if _script(c) == "G"}
+    greek = {c for c in made if _script(c) == "Greek"}
     plain = {c for c in made - greek if c.isalpha() and c not in _FOR_LETTERS and _alone(c) < GAIN}
     inner = {c for c in made if c in _EDGE and c not in _INNER}
     other = made - greek - plain - inner - _INNER | _FOR_LETTERS
@@ -237,43 +295,44 @@ def _of_letters() -> str:
 
 
 SUSPECT += "|" + _of_letters()
+_MISREAD = set("þªº@°")  # what scans make of letters; no evidence of a wrong mapping
+#: A text of these characters only holds no garbled word: no step changes ASCII, escapes and question marks apart, and the
+#: rest is letters that :func:`restored_word` never doubts or signs that cost nothing wherever they stand.
+_CLEAR = {chr(o) for o in range(0x20, 0x7F)} - set("?&\\=") | set("\t\n\r")
+_CLEAR |= {c for c in _FREQUENT if c.islower()} | _MISREAD - {"þ"} | {c for c in _EDGE & _INNER if _alone(c) == 0 and c not in _FOR_LETTERS | _AFTER_LEADS}
+PLAIN = rf"\A{_class(_CLEAR)}*+\z"
 
 
 def suspect(text: Column) -> Column:
-    return text.rlike(SUSPECT)
-
-
-_MISREAD = set("þªº@°")  # what scans make of letters; no evidence of a wrong mapping
+    """Whether a text may be garbled: most are plain, which one pass over a set of characters tells; the others meet the patterns."""
+    return (~text.rlike(PLAIN) | text.rlike("%[0-9A-F]{2}%")) & text.rlike(SUSPECT)
 
 
 @lru_cache(maxsize=200_000)
 def restored_word(word: str) -> tuple[str, bool]:
     """The cheapest text reachable from a word, and whether it is cheaper by more than :data:`GAIN`."""
     start = implausibility(word)
-    escaped = "&" in word or "\\" in word or "%" in word or "=" in word
+    escaped = bool(_ESCAPE.search(word))
     if not escaped and (start < GAIN or all(c.isascii() or c in _MISREAD or c in _FREQUENT and c.islower() for c in word)):
         return word, False
-    best, best_cost = word, start
-    queue: list[tuple[float, int, int, str]] = [(start, 0, 0, word)]
-    seen, n = {hash(word)}, 0
-    while queue and n < STATES:
-        cost, _, depth, text = heapq.heappop(queue)
+    least = unavoidable(word, escaped)
+    best, best_cost = word, start - GAIN  # what is not cheaper than that is no restoration
+    queue: list[tuple[float, int, int, str, bool]] = [(start, 0, 0, word, False)]
+    seen, n = {hash((word, False))}, 0
+    while queue:
+        cost, _, depth, text, changed = heapq.heappop(queue)
         if cost < best_cost - 1e-9:
             best, best_cost = text, cost
-        if depth >= 4 or (text is not word and cost - depth * STEP < 0.05 * len(text) * 0.2):
+        if least + STEP * (depth + 1) >= best_cost - 1e-9:  # nothing that follows can be cheaper
             continue
-        for other in neighbours(text):
-            h = hash(other)
-            if h in seen:
+        for other, by_change in neighbours(text, changed):
+            h = hash((other, by_change))
+            if other == text or h in seen:
                 continue
             seen.add(h)
             n += 1
-            c = implausibility(other) + STEP * (depth + 1)
-            if c < cost + 6:
-                heapq.heappush(queue, (c, n, depth + 1, other))
-    if best == word or start - best_cost <= GAIN:
-        return word, False
-    return best, True
+            heapq.heappush(queue, (implausibility(other) + STEP * (depth + 1), n, depth + 1, other, by_change))
+    return best, best != word
 
 
 _WORDS = re.compile(r"[^ \t\n\r]+")
@@ -308,7 +367,7 @@ def restore(text: str, glyphs: dict[str, str] | None = None) -> tuple[str, bool,
     parts, at = [], 0
     for m in _WORDS.finditer(mended):
         w = m.group()
-        if w.isascii() and not ("&" in w or "\\" in w or "%" in w or "=" in w):
+        if w.isascii() and not _ESCAPE.search(w):
             continue
         new, changed = restored_word(w)
         if changed:
@@ -428,7 +487,7 @@ def glyph_map(pages: DataFrame) -> dict[str, str]:
     pairs = pairs.where(F.col("bad").rlike(r"[\x01-\x08\x0B\x0E-\x1F]") & F.col("good").isNotNull())
     votes = pairs.mapInPandas(run, "glyph string, reading string").groupBy("glyph", "reading").count()
     best = votes.groupBy("glyph").agg(F.max_by("reading", F.struct("count", "reading")).alias("reading"))
-    return {r["glyph"]: r["reading"] for r in best.limit(64).collect()}
+    return {r["glyph"]: r["reading"] for r in best.collect()}
 
 
 def _glyphs(bad: str, good: str) -> Iterator[tuple[str, str]]:

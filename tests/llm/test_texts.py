@@ -70,6 +70,63 @@ def test_utf8_read_wrongly(codec, word):
     assert encoding.restored_word(bad) == (word, True)
 
 
+#: Accents, Cyrillic, Han and Kana: the words that one to four garblings by each mapping must not lose.
+GARBLED = (
+    "inversión Auditoría según respondió Prüfstelle manutenção niño señala Tesorería año público técnico jurídico Áreas Éxito Índice Única "
+    "pingüino vergüenza corazón también después jamás fácil difícil débil árbol cárcel dólar lápiz mártir fértil césped huésped álbum acción gestión "
+    "región unión avión camión millón corrupción construcción España mañana pequeño montaña campaña dueño otoño sueño baño caña leña seña ñandú peña "
+    "piña riña viña élève après très où reçu façade garçon leçon français août forêt hôpital fenêtre même fête tête bête château pâte tâche rôle "
+    "côté dépôt impôt bientôt naïf maïs haïr Noël cœur sœur bœuf über für Tür Müller Köln schön Straße weiß heiß Fuß Gruß Mädchen Käse spät não São "
+    "ação coração irmã maçã também você avô avó três mês pêssego cinquenta договор комиссия проверка служба акт смета Россия Москва бюджет закон "
+    "решение область район город совет ревизия подпись документ объект 记录没有 审计办公室 批准了 预付款 水务公司 道路工程局 公开招标 監査室は "
+    "契約を取り消した ない。 文書館 報告書 财政承担 结算报告 设备清单"
+).split()
+
+
+@pytest.mark.parametrize("times", [1, 2, 3, 4])
+@pytest.mark.parametrize("codec", ["cp1252", "latin-1", "mac_roman", "cp437", "cp850"])
+def test_garbled_again_and_again(codec, times):
+    signs = {b: chr(point) for point, b in encoding._byte_of(codec).items()}
+    wrong = []
+    for word in GARBLED:
+        bad = word
+        for _ in range(times):
+            bad = "".join(signs[b] for b in bad.encode())
+        if encoding.restored_word(bad)[0] != word:
+            wrong.append((word, encoding.restored_word(bad)[0]))
+    assert not wrong
+
+
+def full_search(word: str) -> float:
+    """The least cost of all texts that can be reached, without any bound."""
+    best, todo, seen = encoding.implausibility(word), [(word, False, 0)], {}
+    while todo:
+        text, changed, depth = todo.pop()
+        if seen.get((text, changed), 99) <= depth:
+            continue
+        seen[(text, changed)] = depth
+        best = min(best, encoding.implausibility(text) + encoding.STEP * depth)
+        todo += [(t, c, depth + 1) for t, c in encoding.neighbours(text, changed) if t != text]
+    return best
+
+
+@pytest.mark.parametrize("word", ["ComisiÃƒÂ³n", "AuditorÝa", "ïîòåðÿëà", "Âà•Á¥ô", "reÃƒÂ§u.", "¬å\x8f¸å¤\x8dæ", "PrÃ¼fstelle&ntilde;", "¶§Ærn", "Straﬂe"])
+def test_search_is_exact(word):
+    found, changed = encoding.restored_word(word)
+    least = full_search(word)
+    assert changed == (least < encoding.implausibility(word) - encoding.GAIN - 1e-9)
+    if changed:
+        assert encoding.implausibility(found) <= least
+
+
+def test_plain_texts_hold_no_garbled_word():
+    signs = sorted(encoding._CLEAR - set(" \t\r\n"))
+    for a in signs:
+        for b in signs:
+            for word in (f"{a}{b}", f"so{a}{b}a", f"So{a}a{b}l"):
+                assert encoding.restored_word(word) == (word, False)
+
+
 def test_twice_and_single_byte():
     assert encoding.restored_word("ComisiÃƒÂ³n")[0] == "Comisión"
     assert encoding.restored_word("AuditorÝa")[0] == "Auditoría" and encoding.restored_word("autorizÛ")[0] == "autorizó"
