@@ -281,7 +281,7 @@ def _of_letters() -> str:
         found.append(_class({of[b] for b in range(0xC2, 0xC6)}) + _class({of[b] for b in range(0x80, 0xC0)}))
     made = {chr(p) for pair in SINGLE_BYTE for p, c in _remap(*pair).items() if c.isalpha() and chr(p) != c}
     greek = {c for c in made if _script(c) == "Greek"}
-    plain = {c for c in made - greek if c.isalpha() and c not in _FOR_LETTERS and _alone(c) < GAIN}
+    plain = {c for c in made - greek if c.isalpha() and c not in _FOR_LETTERS and _alone(c) < GAIN and _script(c) in ("Latin", "Cyrillic")}
     inner = {c for c in made if c in _EDGE and c not in _INNER}
     other = made - greek - plain - inner - _INNER | _FOR_LETTERS
     found += [
