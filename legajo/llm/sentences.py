@@ -11,7 +11,9 @@ scripts end a sentence by themselves.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,12 +32,12 @@ GO_ON = set(
 GO_ON_BEFORE_NUMBER = set("no n s p pp f ff t v c cap col par reg res dec exp lote apdo km n.º п с гл ч".split())
 #: Single letters that are part of "that is", "for example" and the like with a next letter (fixed values).
 _TERMINATORS = ".!?…"
-_OWN_STOPS = "。！？｡।॥؟۔။៕།"
+_OWN_STOPS = "。！？｡।॥؟۔။។៕།።"
 _CLOSERS = "»”\"’')]}」』）】》〉"
 _PAIRS = {"«": "»", "“": "”", "„": "“”", "‘": "’", "(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "‹": "›"}
 _BLANK = " \t\n\r\u000b\u000c   　​﻿­  "
+_MARKS = re.compile("[" + re.escape('"—–' + "".join(k + v for k, v in _PAIRS.items())) + "]")
 _LIST_MARK = re.compile(r"(?:[•▪◦‣●○*]|[-–](?=\s)|\(?\d{1,3}[.)]|\(?[a-zA-Z]\)|[ivxIVX]{1,4}[.)])\s+(?=\S)")
-_SPAN = 700  # a quotation or bracket that is not closed within so many characters is taken for a stray mark
 
 
 def _caseless(ch: str) -> bool:
@@ -43,28 +45,54 @@ def _caseless(ch: str) -> bool:
     return ch.isalpha() and ch.lower() == ch.upper()
 
 
+def partners(text: str) -> dict[int, int]:
+    """The end (exclusive) of every span by the place of its opening mark; marks without a partner are stray.
+
+    One pass with a stack for each kind of mark, so spans may have any length; dashes look up the next mark of each kind.
+    """
+    found: dict[int, int] = {}
+    open_marks: dict[str, list[int]] = {}  # by closing mark
+    quote = -1
+    dashes: dict[str, list[int]] = {"—": [], "–": []}  # dashes that may close an insertion
+    openings: list[int] = []
+    for m in _MARKS.finditer(text):
+        i, ch = m.start(), m.group()
+        before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < len(text) else " "
+        if ch == '"':
+            if quote >= 0 and before not in _BLANK and (not after.isalnum() or before in _TERMINATORS):
+                found[quote] = i + 1
+                quote = -1
+            elif (before in _BLANK or before in "(«¿¡—-") and after not in _BLANK:
+                quote = i
+        elif ch in "—–":
+            if before in _BLANK:
+                openings.append(i)
+            elif not after.isalnum():
+                dashes[ch].append(i)
+        else:
+            if open_marks.get(ch):
+                found[open_marks[ch].pop()] = i + 1
+            elif ch in _PAIRS:
+                stack = open_marks.setdefault(_PAIRS[ch][0], [])
+                for closer in _PAIRS[ch][1:]:
+                    open_marks[closer] = stack
+                stack.append(i)
+    for k, i in enumerate(openings):
+        if i and i + 1 < len(text) and text[i + 1] not in _BLANK:
+            at = bisect_right(dashes[text[i]], i)
+            if at < len(dashes[text[i]]) and (k + 1 == len(openings) or dashes[text[i]][at] < openings[k + 1]):
+                found[i] = dashes[text[i]][at] + 1
+    return found
+
+
 def spans(text: str) -> list[int]:
     """For every position the end of the outermost span that covers it (exclusive), or 0."""
-    n = len(text)
-    cover = [0] * n
-    i = 0
-    while i < n:
-        ch = text[i]
-        end = -1
-        if ch in _PAIRS:
-            end = _closing(text, i, ch)
-        elif ch == '"':
-            before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
-            if (before in _BLANK or before in "(«¿¡—-") and after not in _BLANK:
-                end = _ascii_quote(text, i)
-        elif ch in "—–" and i and text[i - 1] in _BLANK and i + 1 < n and text[i + 1] not in _BLANK and not _starts_sentence(text, i):
-            end = _dash(text, i)
-        if end > i:
-            for k in range(i, end):
-                cover[k] = end
-            i = end
-        else:
-            i += 1
+    cover = [0] * len(text)
+    done = 0
+    for i, end in sorted(partners(text).items()):
+        if i >= done and (text[i] not in "—–" or not _starts_sentence(text, i)):
+            cover[i:end] = [end] * (end - i)
+            done = end
     return cover
 
 
@@ -76,37 +104,6 @@ def _starts_sentence(text: str, i: int) -> bool:
     return k < 0 or text[k] in _TERMINATORS or text[k] in _OWN_STOPS or text[k] in ":" or (text[k] in _CLOSERS and k and text[k - 1] in _TERMINATORS)
 
 
-def _closing(text: str, i: int, opener: str) -> int:
-    depth, closers, limit = 0, _PAIRS[opener], min(len(text), i + _SPAN)
-    for k in range(i + 1, limit):
-        if text[k] == opener and opener not in closers:
-            depth += 1
-        elif text[k] in closers:
-            if depth == 0:
-                return k + 1
-            depth -= 1
-    return -1
-
-
-def _ascii_quote(text: str, i: int) -> int:
-    for k in range(i + 1, min(len(text), i + _SPAN)):
-        if text[k] == '"' and text[k - 1] not in _BLANK:
-            after = text[k + 1] if k + 1 < len(text) else " "
-            if not after.isalnum() or text[k - 1] in _TERMINATORS:
-                return k + 1
-    return -1
-
-
-def _dash(text: str, i: int) -> int:
-    """The end of an insertion between dashes inside a sentence, or -1."""
-    for k in range(i + 1, min(len(text), i + 300)):
-        if text[k] == text[i] and text[k - 1] not in _BLANK:
-            return k + 1
-        if text[k] in "—–" and text[k - 1] in _BLANK:
-            return -1
-    return -1
-
-
 def _word_before(text: str, dot: int) -> str:
     """The word that ends at ``dot``, with the dots inside it."""
     k = dot
@@ -116,7 +113,7 @@ def _word_before(text: str, dot: int) -> str:
 
 
 def _mark(ch: str) -> bool:
-    return "ऀ" <= ch <= "ॿ" or "฀" <= ch <= "๿"  # vowel signs belong to the word
+    return "ऀ" <= ch <= "ॿ" or "\u0e00" <= ch <= "\u0eff"  # vowel signs belong to the word
 
 
 def sentence_starts(text: str) -> list[int]:
@@ -128,7 +125,8 @@ def sentence_starts(text: str) -> list[int]:
     if first == n:
         return []
     starts = [first]
-    cover = spans(text) if any(c in text for c in "«“„\"‘([{「『（【《‹—–") else [0] * n
+    unpunctuated = not _ANY_STOP.search(text)
+    cover = spans(text) if _MARKS.search(text) else [0] * n
     i = first
     while i < n:
         if cover[i]:
@@ -158,7 +156,7 @@ def sentence_starts(text: str) -> list[int]:
             continue
         if ch in _BLANK and _spaceless(text, i):
             at = _next(text, i)
-            if at < n and _gap(text, i, at):
+            if at < n and _gap(text, i, at, unpunctuated):
                 starts.append(at)
             i = max(at, i + 1)
             continue
@@ -285,13 +283,25 @@ THAI_GO_ON = ("โดย", "ตาม", "ก่อน", "หลัง", "เป
               "ฉบับ", "คน", "บาท", "ครั้ง", "ราย", "แห่ง", "ปี", "วัน", "ว่า", "จำนวน", "เมื่อวันที่")
 THAI_MORE = ("โดย", "ตาม", "จาก", "เป็น", "และ", "หรือ", "ที่", "ซึ่ง", "เพื่อ", "เพราะ", "แต่", "กับ", "จำนวน", "ใน", "ปี", "ของ", "ไม่", "ได้")
 THAI_OPEN = ("ในปี", "ใน พ.ศ.", "ดัชนี", "การ", "กรม", "คณะ", "สำนักงาน", "กระทรวง", "บริษัท", "ผู้", "นาย", "นาง", "รายงาน", "เมื่อ", "ทำไม", "อย่างไรก็ตาม")
-_LEXICON = sorted({*THAI_GO_ON, *THAI_MORE, *THAI_OPEN}, key=len, reverse=True)
+#: The same for Lao (fixed values).
+LAO_GO_ON = ("ໂດຍ", "ຕາມ", "ກ່ອນ", "ຫຼັງ", "ເປັນ", "ຈາກ", "ແລະ", "ຫຼື", "ທີ່", "ຊຶ່ງ", "ເພື່ອ", "ເພາະ", "ແຕ່", "ດ້ວຍ", "ກັບ", "ໃຫ້", "ເຖິງ", "ຕໍ່", "ໃນ", "ຄົນ", "ກີບ", "ຄັ້ງ", "ແຫ່ງ", "ປີ", "ວັນ", "ວ່າ", "ຈຳນວນ")
+LAO_MORE = ("ໂດຍ", "ຕາມ", "ຈາກ", "ເປັນ", "ແລະ", "ຫຼື", "ທີ່", "ຊຶ່ງ", "ເພື່ອ", "ເພາະ", "ແຕ່", "ກັບ", "ຈຳນວນ", "ໃນ", "ປີ", "ຂອງ", "ບໍ່", "ໄດ້")
+LAO_OPEN = ("ໃນປີ", "ການ", "ກົມ", "ຄະນະ", "ສຳນັກງານ", "ກະຊວງ", "ບໍລິສັດ", "ຜູ້", "ທ່ານ", "ລາຍງານ", "ເມື່ອ", "ເປັນຫຍັງ", "ແນວໃດກໍຕາມ")
+#: Endings of sentences in Chinese and Japanese that have no stops (fixed values).
+FINALS = ("了", "吗", "呢", "吧", "啊", "嘛", "です", "ます", "した", "った", "だ", "ない", "ません", "である", "いる", "れる", "する", "か", "ね", "よ")
+_GO_ON, _MORE, _OPEN = {*THAI_GO_ON, *LAO_GO_ON}, {*THAI_MORE, *LAO_MORE}, (*THAI_OPEN, *LAO_OPEN)
+_LEXICON = frozenset({*_GO_ON, *_MORE, *_OPEN})
+_LENGTHS = sorted({len(w) for w in _LEXICON})
+_SCRIPT_RUN = re.compile("[\u0e00-\u0eff]+")
+_CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+_ANY_STOP = re.compile("[" + re.escape(_TERMINATORS + _OWN_STOPS) + "]")
 
 
 def _spaceless(text: str, i: int) -> bool:
-    return i > 0 and "฀" <= text[i - 1] <= "๿"
+    return i > 0 and ("\u0e00" <= text[i - 1] <= "\u0eff" or bool(_CJK.match(text[i - 1])))
 
 
+@lru_cache(maxsize=2_000)
 def lattice_words(run: str) -> list[str]:
     """The cheapest path through the lattice of dictionary words of a run: known words cost 1, other characters 2 each."""
     n = len(run)
@@ -299,9 +309,9 @@ def lattice_words(run: str) -> list[str]:
     for i in range(n):
         if cost[i] + 2 < cost[i + 1]:
             cost[i + 1], back[i + 1] = cost[i] + 2, i
-        for w in _LEXICON:
-            if run.startswith(w, i) and cost[i] + 1 < cost[i + len(w)]:
-                cost[i + len(w)], back[i + len(w)] = cost[i] + 1, i
+        for k in _LENGTHS:
+            if run[i : i + k] in _LEXICON and i + k <= n and cost[i] + 1 < cost[i + k]:
+                cost[i + k], back[i + k] = cost[i] + 1, i
     words, i = [], n
     while i:
         words.append(run[back[i] : i])
@@ -309,21 +319,20 @@ def lattice_words(run: str) -> list[str]:
     return words[::-1]
 
 
-def _gap(text: str, gap: int, at: int) -> bool:
-    """Whether a blank between words of a spaceless script ends a sentence."""
-    if not ("฀" <= text[at] <= "๿"):
+def _gap(text: str, gap: int, at: int, unpunctuated: bool) -> bool:
+    """Whether a blank between words of a spaceless script ends a sentence; the whole runs on both sides are segmented."""
+    if _CJK.match(text[gap - 1]):  # scripts with stops of their own: only where the text uses none
+        return unpunctuated and text[:gap].endswith(FINALS) and bool(_CJK.match(text[at]))
+    following = _SCRIPT_RUN.match(text, at)
+    if not following:
         return text[at].isupper() or text[at] in "“«"
+    if following.group().startswith(_OPEN):
+        return True
     left = gap
-    while left > 0 and gap - left < 24 and "฀" <= text[left - 1] <= "๿":
+    while left > 0 and "\u0e00" <= text[left - 1] <= "\u0eff":
         left -= 1
-    right = at
-    while right < len(text) and right - at < 24 and "฀" <= text[right] <= "๿":
-        right += 1
-    following = text[at:right]
-    if following.startswith(THAI_OPEN):
-        return True
-    after, before = lattice_words(following), lattice_words(text[left:gap])
-    return after[0] not in THAI_GO_ON and not (before and before[-1] in THAI_MORE)
+    after, before = lattice_words(following.group()), lattice_words(text[left:gap])
+    return after[0] not in _GO_ON and not (before and before[-1] in _MORE)
 
 
 # --- tables ---

@@ -39,6 +39,36 @@ def test_sentence_counts(text, want):
     assert starts == sorted(set(starts)) and all(not text[s].isspace() for s in starts)
 
 
+@pytest.mark.parametrize("size", [20, 60, 6_000])
+@pytest.mark.parametrize("marks", ["«»", "“”", '""', "()", "——"])
+def test_spans_of_any_length_end_no_sentence(marks, size):
+    inside = " ".join(["Se perdió el acta."] * size)
+    text = f"El jefe dijo {marks[0]}{inside}{marks[1]}, y el plan siguió. Es todo."
+    assert [text[s : s + 5] for s in sentences.sentence_starts(text)] == ["El je", "Es to"]
+
+
+def test_stray_marks_are_read_in_linear_time():
+    text = "(«“ —a " * 40_000 + "Fin. Otra."
+    assert len(sentences.sentence_starts(text)) == 2
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("គណៈកម្មាធិការបានអនុម័ត។ របាយការណ៍ត្រូវបានផ្ញើ។ គ្មានកំណត់ត្រាទេ។", 3),
+        ("ກົມທາງຍົກເລີກສັນຍາໂດຍບໍ່ມີເຫດຜົນ ການທ່າເຮືອອະນຸມັດແຜນ ໃນປີ 2028 ກະຊວງເລື່ອນ", 3),
+        ("审计办公室批准了报告了 水务公司遗失了合同吗 采购委员会取消了", 3),
+        ("監査室は契約を承認した 水道公社は報告書を取り消した 記録はない", 3),
+        ("審査 記録。次の文。", 2),
+        ("ရုံးက အတည်ပြုသည်။ မှတ်တမ်းမရှိပါ။", 2),
+        ("አንድ ዓረፍተ ነገር። ሁለተኛ።", 2),
+    ],
+)
+def test_scripts_without_blanks_or_stops(text, want):
+    starts = sentences.sentence_starts(text)
+    assert len(starts) == want, [text[s : s + 25] for s in starts]
+
+
 def test_sentence_table(spark):
     rows = [("p", "Uno. Dos.", "body"), ("p", "Uno. Dos.", "body"), ("h", "I. Los títulos. Otra", "heading"), ("n", None, None), (None, " Tres. ", None)]
     df = spark.createDataFrame(rows, "paragraph_id string, clean_text string, block_type string")
