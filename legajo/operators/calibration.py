@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +14,9 @@ from pyspark.sql import functions as F
 from legajo.operators.ranks import auc
 from legajo.session import small_lookup
 
-#: A score may be used only if all of these hold.
-GATE = {"least_auc_low": 0.80, "most_fpr": 0.10, "least_negative": 30, "least_positive": 30, "least_groups": 5, "target_fpr": 0.05}
+#: Bounds that a score must keep to be used (fixed values): of the area's interval, of held-out false positives, of the rows of
+#: both classes, of the groups and of the makers of the positive class; and the false positives a threshold aims at.
+AUC_LOW, FPR_HIGH, LEAST_ROWS, LEAST_GROUPS, LEAST_MAKERS, TARGET_FPR = 0.80, 0.10, 30, 5, 2, 0.05
 
 
 def folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
@@ -21,7 +26,7 @@ def folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
     return df.join(groups.select(label, group, F.pmod(F.row_number().over(order) - 1, F.lit(k)).alias("fold")), [label, group])
 
 
-def fold_thresholds(df: DataFrame, label: str, score: str, target: float = GATE["target_fpr"], k: int = 5) -> DataFrame:
+def fold_thresholds(df: DataFrame, label: str, score: str, target: float = TARGET_FPR, k: int = 5) -> DataFrame:
     """fold and threshold: the (1 - target) quantile of the negative scores outside the fold.
 
     The exact quantile needs the scores of one class in order; they are counted by value first.
@@ -49,7 +54,7 @@ def sliced_auc(df: DataFrame, label: str, score: str, slices: dict[str, Column],
     return auc(rows, label, score, ["slice"]).where((F.col("n_pos") >= least) & (F.col("n_neg") >= least))
 
 
-def bootstrap_auc(df: DataFrame, label: str, score: str, group: str, replicates: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap_auc(df: DataFrame, label: str, score: str, group: str, replicates: int = 2_000, seed: int = 7) -> DataFrame:
     """One row: low and high of the 95 % interval of the area, whole groups of each class drawn with replacement.
 
     A group's draws in a replicate follow a Poisson law with mean 1, decided by a hash of replicate and group: no group list
@@ -64,35 +69,105 @@ def bootstrap_auc(df: DataFrame, label: str, score: str, group: str, replicates:
     draws = F.lit(0)
     for limit in limits:
         draws = draws + F.when(u > limit, 1).otherwise(0)
+    # The area is a sum over pairs of groups, so that the scores are walked once and a replicate only weighs the pairs. The
+    # pairs of a score with all lower negative scores are counted by its place: counts of groups below, then inside a bucket.
+    df = df.where(F.col(score).isNotNull() & F.col(group).isNotNull())  # rows without a group can not be drawn
     counts = df.groupBy(label, group, score).agg(F.count(F.lit(1)).alias("n"))
-    drawn = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", draws * F.col("n")).where("w > 0")
-    weighted = drawn.groupBy("replicate", score).agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("p"), F.sum("w").alias("t"))
-    below = Window.partitionBy("replicate").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = weighted.withColumn("before", F.coalesce(F.sum("t").over(below), F.lit(0)))
-    sums = ranked.groupBy("replicate").agg(
-        F.sum("p").alias("np"), F.sum(F.col("t") - F.col("p")).alias("nn"), F.sum(F.col("p") * (F.col("before") + (F.col("t") + 1) / 2)).alias("rs")
+    pairs = _beaten(counts, label, group, score)
+    sizes = df.groupBy(label, group).agg(F.count(F.lit(1)).alias("n"))
+    numbered = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
+    drawn = sizes.select(label, group, "n", numbered).withColumn("w", draws).where("w > 0")
+    totals = drawn.groupBy("replicate").agg(
+        F.sum(F.when(F.col(label) == 1, F.col("w") * F.col("n")).otherwise(0)).alias("np"), F.sum(F.when(F.col(label) == 0, F.col("w") * F.col("n")).otherwise(0)).alias("nn")
     )
-    area = (F.col("rs") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))
+    positive = drawn.where(F.col(label) == 1).select("replicate", F.col(group).alias("p"), F.col("w").alias("wp"))
+    negative = drawn.where(F.col(label) == 0).select("replicate", F.col(group).alias("q"), F.col("w").alias("wq"))
+    won = pairs.join(positive, "p").join(negative, ["q", "replicate"]).groupBy("replicate").agg(F.sum(F.col("u") * F.col("wp") * F.col("wq")).alias("u"))
+    sums = totals.join(won, "replicate", "left").withColumn("u", F.coalesce("u", F.lit(0.0)))
+    area = F.col("u") / (F.col("np") * F.col("nn"))
     areas = sums.where("np > 0 and nn > 0").select(area.alias("a"))
     return areas.agg(F.percentile("a", F.lit(0.025)).alias("low"), F.percentile("a", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("replicates"))
 
 
+def _beaten(counts: DataFrame, label: str, group: str, score: str) -> DataFrame:
+    """p, q and u for each pair of a positive and a negative group: how often p's score is higher, ties by half.
+
+    Scores lie in buckets between sampled quantiles (any bounds give the same result); below its own bucket a score has won
+    against all, inside it pairs of scores are compared in one sorted walk that holds one count for each negative group.
+    """
+    bounds = sorted(set(counts.approxQuantile(score, [i / 64 for i in range(1, 64)], 0.01)))
+    bucket = F.lit(0)
+    for x in bounds:
+        bucket = bucket + (F.col(score) > x).cast("int")
+    placed = counts.withColumn("bucket", bucket)
+    wins = placed.where(F.col(label) == 1).groupBy("bucket", F.col(group).alias("p")).agg(F.sum("n").alias("np"))
+    losses = placed.where(F.col(label) == 0).groupBy("bucket", F.col(group).alias("q")).agg(F.sum("n").alias("nq"))
+    upwards = losses.withColumn("above", F.explode(F.sequence(F.col("bucket") + 1, F.lit(len(bounds) + 1))))
+    lower = upwards.groupBy(F.col("above").alias("bucket"), "q").agg(F.sum("nq").alias("nq"))
+    between = wins.join(lower, "bucket").groupBy("p", "q").agg(F.sum((F.col("np") * F.col("nq")).cast("double")).alias("u"))
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        below: dict = {}
+        equal: dict = {}
+        waiting: list = []
+        found: Counter = Counter()
+        now = None
+
+        def settle() -> None:
+            for p, n in waiting:
+                for q, k in below.items():
+                    found[p, q] += n * k
+                for q, k in equal.items():
+                    found[p, q] += n * k / 2
+            for q, k in equal.items():
+                below[q] = below.get(q, 0) + k
+            equal.clear()
+            waiting.clear()
+
+        for b in batches:
+            for place, y, g, x, n in zip(b["bucket"], b["y"], b["g"], b["x"], b["n"], strict=True):
+                if now is not None and (place, x) != now:
+                    settle()
+                    if place != now[0]:
+                        below.clear()
+                now = place, x
+                if y == 1:
+                    waiting.append((g, n))
+                else:
+                    equal[g] = equal.get(g, 0) + n
+            yield pd.DataFrame([], columns=["p", "q", "u"])
+        settle()
+        yield pd.DataFrame([(p, q, float(u)) for (p, q), u in found.items()], columns=["p", "q", "u"])
+
+    kind = counts.schema[group].dataType.simpleString()
+    rows = placed.select("bucket", F.col(label).alias("y"), F.col(group).alias("g"), F.col(score).alias("x"), "n")
+    within = rows.repartition("bucket").sortWithinPartitions("bucket", "x").mapInPandas(inside, f"p {kind}, q {kind}, u double")
+    return between.unionByName(within).groupBy("p", "q").agg(F.sum("u").alias("u"))
+
+
 def oriented(value: Column, sign: float) -> Column:
     """A score turned so that higher means more alike the positive class; null where it is not finite."""
     return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(sign) * value)
 
 
-def gate(auc_low: float, fpr: float, n_negative: int, n_positive: int, n_groups: int) -> tuple[str, list[str]]:
-    """``calibrated``, ``preliminary`` (separates well, but on few data) or ``not_informative``, and the reasons against it."""
-    against, few = [], []
-    if auc_low < GATE["least_auc_low"]:
-        against.append(f"lower bound of the area {auc_low:.2f} < {GATE['least_auc_low']}")
-    if fpr > GATE["most_fpr"]:
-        against.append(f"held-out false positives {fpr:.2f} > {GATE['most_fpr']}")
-    for n, least, what in ((n_negative, "least_negative", "negative rows"), (n_positive, "least_positive", "positive rows"), (n_groups, "least_groups", "groups")):
-        if n < GATE[least]:
-            few.append(f"only {n} {what}")
-    return ("not_informative" if against else "preliminary" if few else "calibrated"), against + few
+def gated(metrics: DataFrame) -> DataFrame:
+    """``metrics`` (one row for each score: auc_low, fpr, n_neg, n_pos, n_groups, n_makers) with reasons and status.
+
+    ``not_informative`` if the score does not separate or errs too often (also where that is not known), ``preliminary`` if it
+    does but rests on few data, else ``calibrated``. Reasons name every bound that is broken, in the order of the bounds.
+    """
+
+    def broken(column: str, bad: Column, bound: float, sign: str) -> Column:
+        shown = F.coalesce(F.round(column, 4).cast("string"), F.lit("unknown"))
+        return F.when(F.coalesce(bad, F.lit(True)), F.concat(F.lit(f"{column} "), shown, F.lit(f" {sign} {bound:g}")))
+
+    separates = [broken("auc_low", (F.col("auc_low") < AUC_LOW) | F.isnan("auc_low"), AUC_LOW, "<"), broken("fpr", F.col("fpr") > FPR_HIGH, FPR_HIGH, ">")]
+    enough = [
+        broken(column, F.col(column) < least, least, "<")
+        for column, least in (("n_neg", LEAST_ROWS), ("n_pos", LEAST_ROWS), ("n_groups", LEAST_GROUPS), ("n_makers", LEAST_MAKERS))
+    ]
+    status = F.when(F.coalesce(*separates).isNotNull(), "not_informative").when(F.coalesce(*enough).isNotNull(), "preliminary").otherwise("calibrated")
+    return metrics.withColumn("reasons", F.array_compact(F.array(*separates, *enough))).withColumn("status", status)
 
 
 def applied(df: DataFrame, score: str, threshold: float, status: str, by: str) -> DataFrame:

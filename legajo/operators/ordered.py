@@ -6,6 +6,8 @@ inside chunks of a group (its pages), then over one summary row for each chunk,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,63 +62,86 @@ def greedy_segments(df: DataFrame, amount: str, target: int, group: list[str], c
     """segment (from 1): rows in order are put together until their ``amount`` reaches ``target``, then a new segment begins.
     With ``cap`` a segment ends before a row that would take it beyond ``target`` (a row larger than that stands alone).
 
-    What a chunk does to the amount carried in is a function of that amount, of which there are only ``target`` values; the
-    functions of all chunks are composed in order, and then each chunk is walked once with the amount it really begins with.
-    Null amounts count as 0.
+    Groups that lie in one chunk are walked at once. In longer ones, what a chunk does to the amount carried in is a function of
+    that amount, of which there are only ``target`` values; the functions of the chunks are applied in order, and then each
+    chunk is walked with the amount it really begins with. All three passes read sorted rows as they come, so that no group or
+    chunk is held whole. Null amounts count as 0; group columns must not be null.
     """
     named = df.select(*group, chunk, *order, F.greatest(F.coalesce(F.col(amount), F.lit(0)), F.lit(0)).cast("bigint").alias("_amount"))
     keys = [*group, chunk]
     fields = {f.name: f.dataType.simpleString() for f in named.schema.fields}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keys)
-
-    def effect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        carry, closed = np.arange(target + 1), np.zeros(target + 1, dtype=np.int64)
-        for a in np.minimum(pdf["_amount"].to_numpy(), target):  # what is beyond the target acts like the target
-            if cap:
-                full = (carry > 0) & (carry + a > target)
-                closed += full
-                carry = np.where(full, a, carry + a)
-            else:
-                carry = carry + a
-                full = carry >= target
-                closed += full
-                carry[full] = 0
-        return pd.DataFrame([[*pdf[keys].iloc[0], carry.tolist(), closed.tolist()]], columns=[*keys, "_carry", "_closed"])
-
-    effects = named.groupBy(*keys).applyInPandas(effect, f"{schema}, _carry array<bigint>, _closed array<bigint>")
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(chunk, kind="stable")
+    chunks = named.select(*keys).distinct()
+    long_groups = chunks.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*group)
+
+    def effect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head: list | None = None
+        carry = closed = np.zeros(0, dtype=np.int64)
+        for b in batches:
+            rows = []
+            amounts = np.minimum(b["_amount"].to_numpy(), target)  # what is beyond the target acts like the target
+            for i, (new, a) in enumerate(zip(b["_first"], amounts, strict=True)):
+                if new:
+                    if head is not None:
+                        rows.append([*head, carry.tolist(), closed.tolist()])
+                    head = [*b[keys].iloc[i]]
+                    carry, closed = np.arange(target + 1), np.zeros(target + 1, dtype=np.int64)
+                if cap:
+                    full = (carry > 0) & (carry + a > target)
+                    closed = closed + full
+                    carry = np.where(full, a, carry + a)
+                else:
+                    full = carry + a >= target
+                    closed = closed + full
+                    carry = np.where(full, 0, carry + a)
+            yield pd.DataFrame(rows, columns=[*keys, "_carry", "_closed"])
+        if head is not None:
+            yield pd.DataFrame([[*head, carry.tolist(), closed.tolist()]], columns=[*keys, "_carry", "_closed"])
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry = closed = 0
-        begins = []
-        for c, k in zip(pdf["_carry"], pdf["_closed"], strict=True):
-            begins.append((carry, closed))
-            carry, closed = int(c[carry]), closed + int(k[carry])
-        out = pdf[keys].copy()
-        out["_begin"], out["_done"] = [b[0] for b in begins], [b[1] for b in begins]
-        return out
-
-    begins = effects.groupBy(*group).applyInPandas(compose, f"{schema}, _begin bigint, _done bigint")
-    placed = named.join(begins, keys)
-    own = ", ".join(f"`{c}` {fields[c]}" for c in dict.fromkeys([*keys, *order]))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        carry, done, segments = int(pdf["_begin"].iloc[0]), int(pdf["_done"].iloc[0]), []
-        for a in np.minimum(pdf["_amount"].to_numpy(), target):
-            if cap:
-                if carry > 0 and carry + int(a) > target:
+        for b in batches:
+            begins = []
+            for new, c, k in zip(b["_first"], b["_carry"], b["_closed"], strict=True):
+                if new:
+                    carry = closed = 0
+                begins.append((carry, closed))
+                carry, closed = int(c[carry]), closed + int(k[carry])
+            out = b[keys].copy()
+            out["_begin"], out["_done"] = [x[0] for x in begins], [x[1] for x in begins]
+            yield out
+
+    def sorted_rows(rows: DataFrame, by: list[str], within: list[str]) -> DataFrame:
+        """Rows sorted by ``by`` and ``within`` in partitions by ``by``, the first of each marked."""
+        return rows.withColumn("_first", F.row_number().over(Window.partitionBy(*by).orderBy(*within)) == 1)
+
+    effects = sorted_rows(named.join(long_groups, group, "left_semi"), keys, order).mapInPandas(effect, f"{schema}, _carry array<bigint>, _closed array<bigint>")
+    begins = sorted_rows(effects, group, [chunk]).mapInPandas(compose, f"{schema}, _begin bigint, _done bigint")
+    placed = named.join(begins, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_begin", "_done")})
+    own = list(dict.fromkeys([*keys, *order]))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = done = 0
+        for b in batches:
+            segments = []
+            amounts = np.minimum(b["_amount"].to_numpy(), target).tolist()
+            for new, a, begin, before in zip(b["_first"], amounts, b["_begin"], b["_done"], strict=True):
+                if new:
+                    carry, done = int(begin), int(before)
+                if cap and carry > 0 and carry + a > target:
                     carry, done = 0, done + 1
                 segments.append(done + 1)
-                carry += int(a)
-                continue
-            segments.append(done + 1)
-            carry += int(a)
-            if carry >= target:
-                carry, done = 0, done + 1
-        out = pdf[list(dict.fromkeys([*keys, *order]))].copy()
-        out["segment"] = segments
-        return out
-
-    return placed.groupBy(*keys).applyInPandas(walk, f"{own}, segment bigint")
+                carry += a
+                if not cap and carry >= target:
+                    carry, done = 0, done + 1
+            out = b[own].copy()
+            out["segment"] = segments
+            yield out
+
+    return sorted_rows(placed, keys, order).mapInPandas(walk, ", ".join(f"`{c}` {fields[c]}" for c in own) + ", segment bigint")
+
+
+def runs(df: DataFrame, column: str, out: str, group: list[str], chunk: str, order: list[str]) -> DataFrame:
+    """``out``: the number of changes of ``column`` up to each row of its group; two nulls are no change."""
+    changed = previous(df, [column], group, chunk, order)
+    return running_sum(changed, (~F.col(column).eqNullSafe(F.col(f"prev_{column}"))).cast("int"), out, group, chunk, order).drop(f"prev_{column}")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from legajo.functions import lexicons as lx
 from legajo.functions import text as tx
-from legajo.operators.ordered import greedy_segments
+from legajo.operators.ordered import greedy_segments, runs
 from legajo.session import checkpointed, small_lookup
 
 #: Pages of a document that are walked in one step.
@@ -20,39 +20,54 @@ PAGES_PER_CHUNK = 64
 MARKS = {"comma": ",", "semicolon": ";", "colon": ":", "paren": "(", "dash": "—", "guillemet": "«", "quote": "“", "percent": "%"}
 
 
-def segments(paragraphs: DataFrame, target: int, least: int) -> DataFrame:
-    """document_id, paragraph_id, segment: consecutive paragraphs of a document put together until ``target`` words.
+#: What names a segment.
+SEGMENT = ["document_id", "chapter", "segment"]
+_ORDER = ["page", "paragraph_id", "sent_no"]
 
-    A rest of fewer than ``least`` words joins the segment before it. A document of any length is walked in pages.
-    """
-    p = paragraphs.select(
-        "document_id", "page", "paragraph_id", tx.word_count(F.col("clean_text")).alias("words"), F.floor(F.col("page") / PAGES_PER_CHUNK).alias("chunk")
-    )
-    keys = ["document_id", "chunk", "page", "paragraph_id"]
-    placed = greedy_segments(p, "words", target, ["document_id"], "chunk", ["page", "paragraph_id"]).join(p, keys)
-    sizes = placed.groupBy("document_id", "segment").agg(F.sum("words").alias("size"))
-    last = sizes.groupBy("document_id").agg(F.max("segment").alias("last"), F.max_by("size", "segment").alias("rest"))
-    short = (F.col("segment") == F.col("last")) & (F.col("rest") < least) & (F.col("segment") > 1)
-    joined = placed.join(last, "document_id")
-    return joined.select("document_id", "page", "paragraph_id", "words", F.when(short, F.col("segment") - 1).otherwise(F.col("segment")).alias("segment"))
+
+def _chunked(sentences: DataFrame, kind: str) -> DataFrame:
+    """Sentences with their words and the chunk of pages they lie in; a missing chapter is the chapter without a name."""
+    return sentences.select(
+        "document_id", F.coalesce("chapter", F.lit("")).alias("chapter"), *_ORDER, "text", tx.word_count(F.col("text"), kind).alias("words"),
+        F.floor(F.coalesce("page", F.lit(0)) / PAGES_PER_CHUNK).alias("chunk"),
+    )
 
 
-def passages(sentences: DataFrame, most: int, least: int, by: list[str]) -> DataFrame:
-    """``by``, passage, n_sentences, n_words: consecutive sentences put together up to ``most`` words, never across a change of
-    ``by``; passages of fewer than ``least`` words are dropped, a longer sentence stands alone."""
-    s = sentences.select(*by, "page", "paragraph_id", "sent_no", tx.word_count(F.col("text"), "unicode").alias("words"), F.floor(F.col("page") / PAGES_PER_CHUNK).alias("chunk"))
-    placed = greedy_segments(s, "words", most, by, "chunk", ["page", "paragraph_id", "sent_no"], cap=True)
-    joined = placed.join(s, [*by, "chunk", "page", "paragraph_id", "sent_no"])
-    out = joined.groupBy(*by, F.col("segment").alias("passage")).agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("words").alias("n_words"))
+def segments(sentences: DataFrame, target: int, least: int) -> DataFrame:
+    """document_id, chapter, page, paragraph_id, sent_no, text, words, segment (from 1): the sentences of a chapter in order, put
+    together until ``target`` words, never across chapters.
+
+    A rest of fewer than ``least`` words joins the segment before it, if the chapter has one. A document of any length is walked
+    in pages.
+    """
+    s = _chunked(sentences, "letters")
+    placed = greedy_segments(s, "words", target, ["document_id", "chapter"], "chunk", _ORDER).join(s, ["document_id", "chapter", "chunk", *_ORDER])
+    sizes = placed.groupBy(*SEGMENT).agg(F.sum("words").alias("size"))
+    last = sizes.groupBy("document_id", "chapter").agg(F.max("segment").alias("last"), F.max_by("size", "segment").alias("rest"))
+    short = (F.col("segment") == F.col("last")) & (F.col("rest") < least) & (F.col("segment") > 1)
+    joined = placed.join(last, ["document_id", "chapter"])
+    return joined.select("document_id", "chapter", *_ORDER, "text", "words", F.when(short, F.col("segment") - 1).otherwise(F.col("segment")).alias("segment"))
+
+
+def passages(sentences: DataFrame, most: int, least: int) -> DataFrame:
+    """document_id, run, passage, chapter, page_start, page_end, n_sentences, n_words: consecutive sentences put together up to
+    ``most`` words, never across a change of chapter (a chapter that comes back begins anew); passages of fewer than ``least``
+    words are dropped, a longer sentence stands alone."""
+    s = runs(_chunked(sentences, "unicode"), "chapter", "run", ["document_id"], "chunk", _ORDER)
+    placed = greedy_segments(s, "words", most, ["document_id", "run"], "chunk", _ORDER, cap=True)
+    joined = placed.join(s, ["document_id", "run", "chunk", *_ORDER])
+    out = joined.groupBy("document_id", "run", F.col("segment").alias("passage")).agg(
+        F.min("chapter").alias("chapter"), F.min("page").alias("page_start"), F.max("page").alias("page_end"),
+        F.count(F.lit(1)).alias("n_sentences"), F.sum("words").alias("n_words"),
+    )
     return out.where(F.col("n_words") >= least)
 
 
-def segment_texts(placed: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """document_id, segment, text (bounded by the segment's size), n_paragraphs and page_start."""
-    rows = placed.join(paragraphs.select("paragraph_id", "clean_text"), "paragraph_id")
-    ordered = F.array_sort(F.collect_list(F.struct("page", "paragraph_id", "clean_text")))
-    grouped = rows.groupBy("document_id", "segment").agg(ordered.alias("v"), F.count(F.lit(1)).alias("n_paragraphs"), F.min("page").alias("page_start"))
-    return grouped.select("document_id", "segment", F.array_join(F.transform("v", lambda x: x["clean_text"]), " ").alias("text"), "n_paragraphs", "page_start")
+def segment_texts(placed: DataFrame) -> DataFrame:
+    """document_id, chapter, segment, text (bounded by the segment's size), n_sentences and page_start."""
+    ordered = F.array_sort(F.collect_list(F.struct(*_ORDER, "text")))
+    grouped = placed.groupBy(*SEGMENT).agg(ordered.alias("v"), F.count(F.lit(1)).alias("n_sentences"), F.min("page").alias("page_start"))
+    return grouped.select(*SEGMENT, F.array_join(F.transform("v", lambda x: x["text"]), " ").alias("text"), "n_sentences", "page_start")
 
 
 def features(texts: DataFrame, keys: list[str]) -> DataFrame:

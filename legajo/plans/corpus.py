@@ -23,8 +23,9 @@ def paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def analytic(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs of running prose that do not come from character recognition."""
-    return paragraphs(spark, d).where(F.col("block_type").isin(ANALYTIC_BLOCKS) & ~F.col("is_ocr") & F.col("clean_text").isNotNull())
+    """Paragraphs of running prose that are not known to come from character recognition; without a type they count as body."""
+    kind = F.coalesce("block_type", F.lit("body"))
+    return paragraphs(spark, d).where(kind.isin(ANALYTIC_BLOCKS) & ~F.coalesce("is_ocr", F.lit(False)) & F.col("clean_text").isNotNull())
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +54,7 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
 
 _BLOCKS = ", ".join(f"'{b}'" for b in ANALYTIC_BLOCKS)
 P = f"p as (select distinct {', '.join(PARAGRAPH_COLUMNS)} from paragraphs)"
-A = f"{P}, a as (select * from p where block_type in ({_BLOCKS}) and not is_ocr and clean_text is not null)"
+A = f"{P}, a as (select * from p where coalesce(block_type, 'body') in ({_BLOCKS}) and not coalesce(is_ocr, false) and clean_text is not null)"
 S = (
     A
     + r""", sv as (select *, list_filter(list_transform(string_split(regexp_replace(clean_text,

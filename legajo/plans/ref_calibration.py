@@ -1,4 +1,4 @@
-"""Queries over labelled scores. The labels are languages: English documents against Spanish ones."""
+"""Queries over labelled scores. The labels are languages, regional variants too: English documents against Spanish ones."""
 
 from __future__ import annotations
 
@@ -14,16 +14,17 @@ R = Registry()
 
 def _scores(s, d):
     """Documents of two languages with a score: the mean word length to two places (which has ties)."""
-    t = table(s, d, "documents").where(F.lower("lang").isin("es", "en")).select(
-        "doc_id", "source", (F.lower("lang") == "en").cast("int").alias("y"), F.substring("published_on", 1, 4).alias("year"), F.size(tx.word_list(F.col("text"))).alias("n"),
+    lang = F.regexp_extract(F.lower("lang"), "^([a-z]+)(?:[-_]|$)", 1)
+    t = table(s, d, "documents").where(lang.isin("es", "en")).select(
+        "doc_id", "source", (lang == "en").cast("int").alias("y"), F.substring("published_on", 1, 4).alias("year"), F.size(tx.word_list(F.col("text"))).alias("n"),
         (F.length("text") - F.length(F.regexp_replace("text", r"\p{L}", ""))).alias("letters"),
     )
     return t.where("n > 0").select("doc_id", "source", "y", "year", F.round(F.col("letters") / F.col("n"), 2).alias("score"))
 
 
-_S = r"""sc as (select doc_id, source, (lower(lang) = 'en')::int as y, substr(published_on, 1, 4) as year,
+_S = r"""sc as (select doc_id, source, (regexp_extract(lower(lang), '^([a-z]+)([-_]|$)', 1) = 'en')::int as y, substr(published_on, 1, 4) as year,
  round((length(text) - length(regexp_replace(text, '\p{L}', '', 'g'))) / len(regexp_extract_all(text, '\p{L}+')), 2) as score
- from documents where lower(lang) in ('es', 'en') and len(regexp_extract_all(text, '\p{L}+')) > 0)"""
+ from documents where regexp_extract(lower(lang), '^([a-z]+)([-_]|$)', 1) in ('es', 'en') and len(regexp_extract_all(text, '\p{L}+')) > 0)"""
 _RANKED = f"{_S}, r as (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 as rk from sc)"
 _AUC = "round((sum(rk) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2) / (count(*) filter (y = 1) * count(*) filter (y = 0)), 6)"
 
@@ -76,3 +77,19 @@ R.add(
     f"with {_S} select y, round(quantile_cont(score, 0.05), 6) as q5, round(quantile_cont(score, 0.5), 6) as q50, round(quantile_cont(score, 0.95), 6) as q95 from sc group by 1",
 )
 R.add("bootstrap_auc", lambda s, d: ca.bootstrap_auc(_scores(s, d), "y", "score", "source"))
+
+
+def _gate(s, d):
+    """Whether the score may be used: its interval, its held-out errors and the size of its classes, as one row."""
+    scores = _scores(s, d)
+    area = ca.bootstrap_auc(scores, "y", "score", "source").select(F.col("low").alias("auc_low"))
+    folded = _folded(s, d)
+    held = ca.held_out_counts(folded, ca.fold_thresholds(folded, "y", "score"), "y", "score").select((F.col("fp") / (F.col("fp") + F.col("tn"))).alias("fpr"))
+    sizes = scores.agg(
+        F.count_if(F.col("y") == 0).alias("n_neg"), F.count_if(F.col("y") == 1).alias("n_pos"), F.count_distinct("source").alias("n_groups"),
+        F.count_distinct(F.when(F.col("y") == 1, F.col("source"))).alias("n_makers"),
+    )
+    return ca.gated(area.crossJoin(held).crossJoin(sizes))  # one row each
+
+
+R.add("score_gate", _gate)

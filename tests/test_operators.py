@@ -152,14 +152,35 @@ def test_intervals():
 
 
 def test_gate_refuses(spark):
-    assert ca.gate(0.95, 0.04, 100, 100, 10)[0] == "calibrated"
-    assert ca.gate(0.95, 0.04, 10, 100, 10)[0] == "preliminary"
-    status, reasons = ca.gate(0.5, 0.3, 100, 100, 10)
-    assert status == "not_informative" and len(reasons) == 2
+    rows = [(0, 0.95, 0.04, 100, 100, 10, 4), (1, 0.95, 0.04, 10, 100, 10, 4), (2, 0.95, 0.04, 100, 100, 10, 1), (3, 0.5, 0.3, 100, 10, 10, 4),
+            (4, None, 0.04, 100, 100, 10, 4), (5, float("nan"), 0.04, 100, 100, 10, 4)]
+    metrics = spark.createDataFrame(rows, "i int, auc_low double, fpr double, n_neg long, n_pos long, n_groups long, n_makers long")
+    got = {r["i"]: (r["status"], r["reasons"]) for r in ca.gated(metrics).collect()}
+    assert got[0] == ("calibrated", [])
+    assert got[1] == ("preliminary", ["n_neg 10 < 30"]) and got[2] == ("preliminary", ["n_makers 1 < 2"])
+    assert got[3] == ("not_informative", ["auc_low 0.5 < 0.8", "fpr 0.3 > 0.1", "n_pos 10 < 30"])
+    assert got[4] == ("not_informative", ["auc_low unknown < 0.8"]) and got[5][0] == "not_informative"
+    assert ca.gated(metrics.limit(0)).count() == 0
+    status = got[3][0]
     with pytest.raises(ValueError, match="not applied"):
         ca.applied(spark.createDataFrame([("a", 1.0)], "g string, s double"), "s", 0.5, status, "g")
 
 
+def test_pairs_won_between_groups(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 1), f"g{rng.randint(0, 3)}", rng.randint(0, 40) / 4) for _ in range(300)]
+    counts = spark.createDataFrame(rows, "y int, grp string, s double").groupBy("y", "grp", "s").agg(F.count(F.lit(1)).alias("n"))
+    got = {(r["p"], r["q"]): r["u"] for r in ca._beaten(counts, "y", "grp", "s").collect()}
+    want = {}
+    for y, p, a in rows:
+        for z, q, b in rows:
+            if y == 1 and z == 0:
+                want[p, q] = want.get((p, q), 0) + (1 if a > b else 0.5 if a == b else 0)
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    empty = spark.createDataFrame([], "y int, grp string, s double")
+    assert ca.bootstrap_auc(empty, "y", "s", "grp", 10).first()["replicates"] == 0
+
+
 def test_held_out_rates_on_separated_classes(spark):
     rng = random.Random(7)
     rows = [(0, f"h{i % 8}", rng.gauss(0, 1)) for i in range(160)] + [(1, f"g{i % 8}", rng.gauss(4, 1)) for i in range(80)]
