@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legajo.functions import text as tx
-from legajo.functions.lexicons import CAUSAL_CORE, CAUSAL_EXTENDED, CUE_WEIGHTS, FACTUAL_THRESHOLD, MONTHS
+from legajo.functions.lexicons import (
+    ADVERSARIAL, CAUSAL_CORE, CAUSAL_EXTENDED, CLAIM_TYPES, CUE_WEIGHTS, FACTUAL_THRESHOLD, MONTHS, NEGATIVE, POSITIVE, SCALES, SECTION_TYPES,
+)
 
 _MONTH = "(?:" + "|".join(MONTHS) + ")"
 _SCALE = "(?:miles de millones|mil millones|billones|billón|millones|millón|miles|mil)"
@@ -87,3 +89,97 @@ def quantity_context(text: Column, raw: Column, before: int = 40, after: int = 3
     at = F.instr(text, F.regexp_extract(raw, r"(\S+)", 1))
     start = F.greatest(F.lit(1), at - before)
     return F.when(at > 0, F.substring(text, start, at - start + F.length(raw) + after)).otherwise(F.substring(text, F.lit(1), F.lit(before + after)))
+
+
+#: Words that follow a number without being what it counts (fixed values).
+_NO_UNITS = ["de", "del", "y", "a", "en", "que", "por", "con", "para", "la", "el", "los", "las", "un", "una", *MONTHS]
+_COUNTED = r"^[^0-9]*[0-9][0-9.]*(?:,[0-9]+)?[ ]*(mil millones|billones|millones|mil)?[ ]*(?:de )?([a-záéíóúñ]+)?"
+
+
+def quantity(text: Column) -> Column:
+    """struct(kind, raw, value, unit, base): :func:`main_quantity` with its unit and, scale words worked in, its base value.
+
+    The unit of money is its currency and scale word, of a count the word that follows, of a percentage ``%`` (without base).
+    """
+    q = main_quantity(text)
+    low = F.lower(q["raw"])
+    scale, factor = F.lit(""), F.lit(1.0)
+    for word, value in reversed(SCALES.items()):
+        scale, factor = F.when(low.contains(word), word).otherwise(scale), F.when(low.contains(word), value).otherwise(factor)
+    currency = F.when(low.rlike("us[$]|usd|dólares"), "USD").otherwise("COP")
+    counted_scale = F.regexp_extract(masked(text), _COUNTED, 1)
+    counted = F.regexp_extract(masked(text), _COUNTED, 2)
+    counted = F.when(counted.isin(_NO_UNITS), "").otherwise(counted)
+    counted_factor = F.lit(1.0)
+    for word, value in SCALES.items():
+        counted_factor = F.when(counted_scale == word, value).otherwise(counted_factor)
+    unit = (
+        F.when(q["kind"] == "money", F.trim(F.concat(currency, F.lit(" "), scale)))
+        .when(q["kind"] == "percent", "%")
+        .when(q["kind"] == "count", F.trim(F.concat(counted_scale, F.lit(" "), counted)))
+        .otherwise("")
+    )
+    base = F.when(q["kind"] == "money", q["value"] * factor).when(q["kind"] == "count", q["value"] * counted_factor)
+    return F.struct(q["kind"].alias("kind"), q["raw"].alias("raw"), q["value"].alias("value"), unit.alias("unit"), base.alias("base"))
+
+
+def claim_type(text: Column, section: Column, types: dict[str, list[str]] = CLAIM_TYPES, hints: dict[str, str] = SECTION_TYPES) -> Column:
+    """struct(type, rule): the type with most stems in the text; among equals the first that the section's name speaks for, else
+    the first of the list; without stems what the section says, else ``otros``."""
+    low, place = F.lower(text), F.coalesce(section, F.lit(""))
+    names = list(types)
+    counts = F.array(*[F.regexp_count(low, F.lit("|".join(stems))) for stems in types.values()])
+    best = F.array_max(counts)
+    tops = F.filter(F.array(*[F.when(counts[i] == best, F.lit(n)) for i, n in enumerate(names)]), lambda n: n.isNotNull())
+    told = F.coalesce(*[F.when(place.contains(h), F.lit(t)) for h, t in hints.items()])
+    hinted = F.coalesce(*[F.when(place.contains(h) & F.array_contains(tops, t), F.lit(t)) for h, t in hints.items()])
+    kind = F.when((best > 0) & (F.size(tops) == 1), tops[0]).when(best > 0, F.coalesce(hinted, tops[0])).otherwise(F.coalesce(told, F.lit("otros")))
+    rule = (
+        F.when((best > 0) & (F.size(tops) == 1), "keywords")
+        .when((best > 0) & hinted.isNotNull(), "keywords+section").when(best > 0, "keywords(tie)")
+        .when(told.isNotNull(), "section").otherwise("default")
+    )
+    return F.struct(kind.alias("type"), rule.alias("rule"))
+
+
+#: Evaluating words; counted anywhere, inside other words too.
+EVALUATIVE = NEGATIVE + POSITIVE + ADVERSARIAL
+
+
+def candidates(sentences: DataFrame, text: str = "text", section: str = "section") -> DataFrame:
+    """Sentences that state something to check, or evaluate: the columns of ``sentences`` with cues, score, claim_kind, claim_type,
+    claim_type_rule, verifiable, is_causal, priority, time_period, source_cited and the :func:`quantity` of the factual ones.
+
+    A sentence below the threshold is evaluative if it has two evaluating words and no quantity; the rest is left out. Sentences
+    without text are none.
+    """
+    t = F.col(text)
+    rows = scored(sentences.where(t.isNotNull()), text)
+    has = {n: F.array_contains(F.split("cues", ";"), n) for n in CUE_WEIGHTS}
+    amount = has["money"] | has["percent"] | has["number"]
+    evaluating = F.regexp_count(F.lower(t), F.lit("|".join(sorted(set(EVALUATIVE), key=lambda w: (-len(w), w)))))
+    kind = F.when(F.col("is_candidate"), "factual_candidate").when((evaluating >= 2) & ~amount, "evaluative_candidate")
+    factual = F.col("claim_kind") == "factual_candidate"
+    anchored = has["date"] | has["institution"] | has["law"]
+    verifiable = F.when(factual & amount & anchored, "yes_candidate").when(factual, "uncertain").otherwise("no_candidate")
+    typed = rows.withColumn("claim_kind", kind).where("claim_kind is not null").withColumn("_type", claim_type(t, F.col(section)))
+    out = typed.withColumns(
+        {
+            "claim_type": F.col("_type.type"), "claim_type_rule": F.col("_type.rule"), "verifiable": verifiable, "is_causal": has["causal"],
+            "priority": priority(F.col("score")), "time_period": periods(t), "source_cited": cited_source(t), "_quantity": F.when(factual, quantity(t)),
+        }
+    )
+    return out.withColumns({f"quantity_{n}": F.col(f"_quantity.{n}") for n in ("kind", "raw", "value", "unit", "base")}).drop("_type", "_quantity", "is_candidate")
+
+
+def numeric_claims(found: DataFrame, text: str = "text") -> DataFrame:
+    """The factual candidates with a quantity: what it measures (the text around it), as reported, and empty columns for what a
+    check against independent data will give."""
+    q = found.where((F.col("claim_kind") == "factual_candidate") & (F.coalesce("quantity_raw", F.lit("")) != ""))
+    return q.withColumns(
+        {
+            "variable": F.trim(quantity_context(F.col(text), F.col("quantity_raw"), 90, 60)), "reported_value": F.col("quantity_raw"),
+            "reported_unit": F.col("quantity_unit"), "reported_period": F.col("time_period"), "reported_source": F.col("source_cited"),
+            "reconstructed_value": F.lit(None).cast("double"), "difference_absolute": F.lit(None).cast("double"), "difference_percent": F.lit(None).cast("double"),
+        }
+    )

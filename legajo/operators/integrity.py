@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from legajo.functions.lexicons import SOURCE_PRIORITY
 from legajo.operators.packed import packed_values
-from legajo.session import salt_of
+from legajo.session import salt_of, small_lookup
 
 
 def source_rank(source_type: Column) -> Column:
@@ -62,6 +62,88 @@ def violations(claims: DataFrame, evidence: DataFrame, ledger: DataFrame) -> Dat
     )
 
 
+#: What an assessment may say, what of it needs no evidence from outside, and labels of robustness (fixed values).
+ASSESSMENTS = ["supported", "mostly_supported", "mixed_or_disputed", "misleading_without_context", "unsupported", "contradicted",
+               "not_independently_verifiable", "opinion_or_interpretation"]
+NOT_FACTUAL = ["opinion_or_interpretation", "not_independently_verifiable"]
+ROBUSTNESS = ["robust", "moderately robust", "sensitive to assumptions", "insufficient evidence", ""]
+#: Source types that are the audited document itself, and reports about it (fixed values).
+AUDITED, CIRCULAR = "audited_document", "coverage_of_audited_document"
+NEEDED = {
+    "assessments": ["claim_id", "assessment"],
+    "evidence": ["claim_id", "source_id", "source_type", "access_date", "supports", "contradicts", "contextualises"],
+}
+
+
+def problems(claims: DataFrame, evidence: DataFrame, assessments: DataFrame, ledger: DataFrame, allowed: list[str] = ASSESSMENTS) -> DataFrame:
+    """Broken rules of assessments and their evidence, one row for each: rule, rec_id, ref; empty where all is sound.
+
+    Assessments may have sentence_id and claim_text_prefix (pins of what was assessed) and robustness; a pin that is null is not
+    checked. Missing columns are told alone. Keys with very many rows are joined salted.
+    """
+    spark = claims.sparkSession
+    absent = [("missing column", t, c) for t, df in (("assessments", assessments), ("evidence", evidence)) for c in require_columns(df, NEEDED[t])]
+    if absent:
+        return spark.createDataFrame(absent, "rule string, rec_id string, ref string")
+
+    def rule(name: str, df: DataFrame, rec: str | Column, ref: str | Column) -> DataFrame:
+        as_text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+        return df.select(F.lit(name).alias("rule"), as_text(rec).alias("rec_id"), as_text(ref).alias("ref")).distinct()
+
+    a = assessments.withColumns({c: F.lit(None).cast("string") for c in ("sentence_id", "claim_text_prefix") if c not in assessments.columns})
+    known = claims.groupBy("claim_id").agg(F.min("sentence_id").alias("_sentence"), F.min("claim_text").alias("_text"), F.lit(True).alias("_known"))
+    sums = evidence.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.coalesce("source_type", F.lit("")) != AUDITED).alias("_external"))
+    seen = a.join(known, "claim_id", "left").join(sums, "claim_id", "left")
+    told = seen.where("_known")
+    backed = told.where("_n > 0")
+    types = ledger.groupBy("source_id").agg(F.min("source_type").alias("_ledger_type"), F.lit(True).alias("_listed"))
+    columns = ["claim_id", "source_id", "access_date", "supports", "contradicts", "contextualises"]
+    e = hot_join(evidence.select(*columns), types, ["source_id"], ["claim_id", "access_date"], "left")
+    pair = F.concat_ws("/", F.coalesce("claim_id", F.lit("?")), F.coalesce("source_id", F.lit("?")))
+    listed = e.where("_listed")
+    parts = [
+        rule("invalid assessment", a.where(~F.coalesce("assessment", F.lit("")).isin(allowed)), "claim_id", "assessment"),
+        rule("claim unknown", seen.where("_known is null"), "claim_id", "assessment"),
+        rule("sentence drifted", told.where("sentence_id is not null and not (sentence_id <=> _sentence)"), "claim_id", "sentence_id"),
+        rule("text drifted", told.where("claim_text_prefix is not null and not coalesce(startswith(_text, claim_text_prefix), false)"), "claim_id", "claim_text_prefix"),
+        rule("no evidence", told.where("_n is null"), "claim_id", "assessment"),
+        rule("no evidence from outside", backed.where((F.col("_external") == 0) & ~F.coalesce("assessment", F.lit("")).isin(NOT_FACTUAL)), "claim_id", "assessment"),
+        rule("source not in the ledger", e.where("_listed is null"), pair, "source_id"),
+        rule("circular source", listed.where(F.col("_ledger_type") == CIRCULAR), pair, "source_id"),
+        rule("access date missing", listed.where("coalesce(access_date, '') = ''"), pair, "source_id"),
+        rule("says nothing", listed.where("not (coalesce(supports, false) or coalesce(contradicts, false) or coalesce(contextualises, false))"), pair, "source_id"),
+    ]
+    if "robustness" in assessments.columns:
+        parts.append(rule("invalid robustness", backed.where(~F.coalesce("robustness", F.lit("")).isin(ROBUSTNESS)), "claim_id", "robustness"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def with_assessments(claims: DataFrame, assessments: DataFrame) -> DataFrame:
+    """Claims with their assessment; those without one say ``unassessed``. Of several the first in code-point order holds."""
+    one = assessments.groupBy("claim_id").agg(F.min("assessment").alias("assessment"))
+    return claims.join(one, "claim_id", "left").withColumn("assessment", F.coalesce("assessment", F.lit("unassessed")))
+
+
+def repinned(assessments: DataFrame, claims: DataFrame) -> DataFrame:
+    """Assessments with new_claim_id: the claim whose text begins with their prefix, null unless it is just one.
+
+    Prefixes may have any length: each length is joined by equality, so that no pair of texts is compared.
+    """
+    lengths = assessments.select(F.length("claim_text_prefix").alias("_k")).where("_k > 0").distinct()
+    texts = claims.select(F.col("claim_id").alias("_to"), "claim_text").distinct().join(F.broadcast(_few(lengths)))
+    hits = texts.select("_to", F.expr("substring(claim_text, 1, _k)").alias("claim_text_prefix")).distinct()
+    found = hits.groupBy("claim_text_prefix").agg(F.count(F.lit(1)).alias("_hits"), F.min("_to").alias("_one"))
+    return assessments.join(found, "claim_text_prefix", "left").withColumn("new_claim_id", F.when(F.col("_hits") == 1, F.col("_one"))).drop("_hits", "_one")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A configuration table of checked size."""
+    return df.sparkSession.createDataFrame(small_lookup(df), df.schema)
+
+
 def assert_sound(claims: DataFrame, evidence: DataFrame, ledger: DataFrame, shown: int = 20) -> None:
     """Raise with the first broken rules, if there are any."""
     broken = violations(claims, evidence, ledger).orderBy("rule", "rec_id").limit(shown).collect()

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from legajo.session import checkpointed
+
 
 def _windows(group: list[str], chunk: str, order: list[str]):
     inside = Window.partitionBy(*group, chunk).orderBy(*order)
@@ -145,3 +147,18 @@ def runs(df: DataFrame, column: str, out: str, group: list[str], chunk: str, ord
     """``out``: the number of changes of ``column`` up to each row of its group; two nulls are no change."""
     changed = previous(df, [column], group, chunk, order)
     return running_sum(changed, (~F.col(column).eqNullSafe(F.col(f"prev_{column}"))).cast("int"), out, group, chunk, order).drop(f"prev_{column}")
+
+
+def numbered(df: DataFrame, out: str, order: list[str], pattern: str = "%d") -> DataFrame:
+    """``out``: sequential ids from 1 in the order of ``order``, written by ``pattern``.
+
+    Rows are sorted into ranges once and kept there; each range counts its rows, and begins where the ranges before it end. Only
+    one number for each range is ordered in one place. ``order`` must tell rows apart, else equal rows may change places.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    kept = checkpointed(sorted_rows.withColumn("_range", F.shiftright(place, 33)).withColumn("_at", place.bitwiseAND((1 << 33) - 1)))
+    sizes = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = kept.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    return joined.withColumn(out, F.format_string(pattern, F.col("_before") + F.col("_at") + 1)).drop("_range", "_at", "_before")

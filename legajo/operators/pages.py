@@ -218,3 +218,20 @@ def longest_prefix(texts: DataFrame, text: str, names: DataFrame, name: str, key
     hit = left.join(right, "_w").where(F.lower("_t").startswith(F.lower("_n")))
     best = hit.groupBy(key, "_t").agg(F.max_by("_n", F.struct(F.length("_n"), F.col("_n"))).alias("name"))
     return best.select(key, "name", F.regexp_replace(F.expr("substring(_t, length(name) + 1)"), r"^[ :—>-]+|[ :—>-]+$", "").alias("rest"))
+
+
+def page_chapters(pages: DataFrame, paragraphs: DataFrame, default: str = "none") -> DataFrame:
+    """document_id, page and chapter: that of most paragraphs that begin on the page (ties: the first in code-point order), else
+    the first of those that end on it, else ``default``. Counted before the joins, so that large documents are no hot keys."""
+    told = paragraphs.where(F.col("chapter").isNotNull())
+    counts = told.groupBy("document_id", "page", "chapter").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("document_id", "page").agg(F.min_by("chapter", F.struct(-F.col("n"), "chapter")).alias("_main"))
+    ending = told.where("page_end is not null").groupBy("document_id", F.col("page_end").alias("page")).agg(F.min("chapter").alias("_ending"))
+    joined = pages.join(main, ["document_id", "page"], "left").join(ending, ["document_id", "page"], "left")
+    return joined.select("document_id", "page", F.coalesce("_main", "_ending", F.lit(default)).alias("chapter"))
+
+
+def browsed(paragraphs: DataFrame, chapter: str, section: str | None = None) -> DataFrame:
+    """The paragraphs of a chapter (and section) without running titles; paragraphs of unknown type stay."""
+    chosen = paragraphs.where((F.col("chapter") == chapter) & (F.coalesce("block_type", F.lit("")) != "running_title"))
+    return chosen if section is None else chosen.where(F.col("level2") == section)

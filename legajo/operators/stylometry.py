@@ -110,6 +110,29 @@ def standardised(long: DataFrame, feature: str, value: str, keys: list[str], pop
     return long.join(stats, feature).select(*keys, feature, z.alias("z"))
 
 
+def coherence(rates: DataFrame, segment: list[str], group: list[str]) -> DataFrame:
+    """How alike each segment is to the others of its group: segment, n_others, mean_cosine and js_to_others.
+
+    ``rates`` is long: keys, word and rate. The mean cosine with all others follows from the sum of the unit vectors of the
+    group, and the Jensen-Shannon divergence is taken from the summed distribution of the others, so that no pair of segments is
+    formed. Null where a group has one segment; segments without words have no row.
+    """
+    norms = rates.groupBy(*segment).agg(F.sqrt(F.sum(F.col("rate") * F.col("rate"))).alias("_norm"), F.sum("rate").alias("_mass"))
+    unit = rates.join(norms, segment).where("_norm > 0").select(*segment, "word", (F.col("rate") / F.col("_norm")).alias("u"), (F.col("rate") / F.col("_mass")).alias("p"))
+    sums = unit.groupBy(*group, "word").agg(F.sum("u").alias("su"), F.sum("p").alias("sp"))
+    sizes = norms.where("_norm > 0").groupBy(*group).agg((F.count(F.lit(1)) - 1).alias("n_others"))
+    rows = unit.join(sums, [*group, "word"]).join(sizes, group)
+    q = F.when(F.col("n_others") > 0, (F.col("sp") - F.col("p")) / F.col("n_others"))
+    m = (F.col("p") + q) / 2
+    part = lambda x: F.when(x > 1e-12, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    # words that only the others have add (q / 2) * log2(q / (q / 2)) = q / 2, and all q sum to one
+    own = F.sum(q)
+    return rows.groupBy(*segment, "n_others").agg(
+        F.when(F.col("n_others") > 0, (F.sum(F.col("u") * F.col("su")) - 1) / F.col("n_others")).alias("mean_cosine"),
+        F.when(F.col("n_others") > 0, (F.sum(part(F.col("p"))) + F.sum(part(q)) + (1 - own)) / 2).alias("js_to_others"),
+    )
+
+
 def evenly_spaced(df: DataFrame, order: list[str], k: int, group: list[str]) -> DataFrame:
     """At most ``k`` rows of each group, evenly spaced over its order (rounded half to even), the first and last among them."""
     from pyspark.sql import Window

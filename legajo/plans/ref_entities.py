@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from legajo.functions.lexicons import CAUSAL_CORE, CAUSAL_EXTENDED, CUE_WEIGHTS
+from legajo.functions.lexicons import CAUSAL_CORE, CAUSAL_EXTENDED, CLAIM_TYPES, CUE_WEIGHTS, SCALES, SECTION_TYPES
 from legajo.operators import claimrules as cr, entities as en
+from legajo.operators.ordered import numbered
 from legajo.plans import corpus as co
 from legajo.plans.corpus import Registry, S, T, sql_phrases, sql_words
 from legajo.session import table
@@ -56,6 +57,64 @@ R.add(
     rf"""with {S}, {_QUANTITY} select paragraph_id, sent_no, kind, raw, try_cast(replace(replace(regexp_extract(raw,
  '[0-9]{{1,3}}(?:\.[0-9]{{3}})+(?:,[0-9]+)?|[0-9]+(?:,[0-9]+)?'), '.', ''), ',', '.') as double) as value from w""",
 )
+_LOW = "lower(raw)"
+_SCALE_WORD = "case " + " ".join(f"when contains({_LOW}, '{w}') then '{w}'" for w in SCALES) + " else '' end"
+_FACTOR = "case " + " ".join(f"when contains({_LOW}, '{w}') then {v}::double" for w, v in SCALES.items()) + " else 1 end"
+_COUNT_FACTOR = "case " + " ".join(f"when cs = '{w}' then {v}::double" for w, v in SCALES.items()) + " else 1 end"
+_NONE = ", ".join(f"'{w}'" for w in cr._NO_UNITS)
+_UNITS = rf"""{_QUANTITY}, cw as (select *, regexp_extract({_MASKED}, '{cr._COUNTED}', 1) as cs, regexp_extract({_MASKED}, '{cr._COUNTED}', 2) as cn,
+ try_cast(replace(replace(regexp_extract(raw, '[0-9]{{1,3}}(?:\.[0-9]{{3}})+(?:,[0-9]+)?|[0-9]+(?:,[0-9]+)?'), '.', ''), ',', '.') as double) as value from w),
+un as (select paragraph_id, sent_no, kind, raw, value, case kind when 'money' then trim(case when regexp_matches({_LOW}, 'us[$]|usd|dólares') then 'USD' else 'COP' end || ' ' || {_SCALE_WORD})
+ when 'percent' then '%' when 'count' then trim(cs || ' ' || case when cn in ({_NONE}) then '' else cn end) else '' end as unit,
+ case kind when 'money' then value * {_FACTOR} when 'count' then value * {_COUNT_FACTOR} end as base from cw)"""
+R.add(
+    "quantity_units",
+    lambda s, d: co.sentences(s, d).select("paragraph_id", "sent_no", cr.quantity(F.col("text")).alias("q")).select("paragraph_id", "sent_no", "q.*"),
+    f"with {S}, {_UNITS} select * from un",
+)
+_COUNTS = {n: f"len(regexp_extract_all(lower(text), '{'|'.join(stems)}'))" for n, stems in CLAIM_TYPES.items()}
+_TYPED = (
+    ", ".join(f"{x} as c_{n}" for n, x in _COUNTS.items()),
+    "greatest(" + ", ".join(f"c_{n}" for n in _COUNTS) + ")",
+    "list_filter([" + ", ".join(f"case when c_{n} = best then '{n}' end" for n in _COUNTS) + "], lambda x: x is not null)",
+    "case " + " ".join(f"when contains(coalesce(section, ''), '{h}') then '{t}'" for h, t in SECTION_TYPES.items()) + " end",
+    "case " + " ".join(f"when contains(coalesce(section, ''), '{h}') and list_contains(tops, '{t}') then '{t}'" for h, t in SECTION_TYPES.items()) + " end",
+)
+_TYPES = f"""ct as (select paragraph_id, sent_no, section, text, {_TYPED[0]} from s), cb as (select *, {_TYPED[1]} as best from ct), cc as (select *, {_TYPED[2]} as tops, {_TYPED[3]} as told from cb),
+cd as (select *, {_TYPED[4]} as hinted from cc), ty as (select paragraph_id, sent_no,
+ case when best > 0 and len(tops) = 1 then tops[1] when best > 0 then coalesce(hinted, tops[1]) else coalesce(told, 'otros') end as claim_type,
+ case when best > 0 and len(tops) = 1 then 'keywords' when best > 0 and hinted is not null then 'keywords+section' when best > 0 then 'keywords(tie)'
+  when told is not null then 'section' else 'default' end as claim_type_rule from cd)"""
+R.add(
+    "claim_types",
+    lambda s, d: co.sentences(s, d).select("paragraph_id", "sent_no", cr.claim_type(F.col("text"), F.col("section")).alias("t"))
+    .select("paragraph_id", "sent_no", F.col("t.type").alias("claim_type"), F.col("t.rule").alias("claim_type_rule")),
+    f"with {S}, {_TYPES} select * from ty",
+)
+_EVALUATING = f"len(regexp_extract_all(lower(text), '{'|'.join(sorted(set(cr.EVALUATIVE), key=lambda w: (-len(w), w)))}'))"
+_AMOUNT, _ANCHOR = "(k_money or k_percent or k_number)", "(k_date or k_institution or k_law)"
+_CANDIDATES = f"""{_SCORED}, {_UNITS}, {_TYPES}, ca as (select *, case when score >= 3 then 'factual_candidate' when {_EVALUATING} >= 2 and not {_AMOUNT} then 'evaluative_candidate' end as claim_kind from z),
+cl as (select ca.*, claim_type, claim_type_rule, case when claim_kind = 'factual_candidate' and {_AMOUNT} and {_ANCHOR} then 'yes_candidate' when claim_kind = 'factual_candidate' then 'uncertain'
+ else 'no_candidate' end as verifiable, k_causal as is_causal, case when score >= 7 then 'A' when score >= 5 then 'B' else 'C' end as priority,
+ case when claim_kind = 'factual_candidate' then unit end as quantity_unit, case when claim_kind = 'factual_candidate' then base end as quantity_base,
+ case when claim_kind = 'factual_candidate' then raw end as quantity_raw
+ from ca join ty using (paragraph_id, sent_no) join un using (paragraph_id, sent_no) where claim_kind is not null)"""
+_CLAIM_COLUMNS = ["paragraph_id", "sent_no", "cues", "score", "claim_kind", "claim_type", "claim_type_rule", "verifiable", "is_causal", "priority", "quantity_unit", "quantity_base"]
+R.add("claim_candidates", lambda s, d: cr.candidates(co.sentences(s, d)).select(*_CLAIM_COLUMNS), f"with {_CANDIDATES} select {', '.join(_CLAIM_COLUMNS)} from cl")
+R.add(
+    "numeric_claims",
+    lambda s, d: cr.numeric_claims(cr.candidates(co.sentences(s, d))).select("paragraph_id", "sent_no", "reported_value", "reported_unit", "variable"),
+    rf"""with {_CANDIDATES}, i as (select *, instr(text, regexp_extract(quantity_raw, '\S+')) as k from cl where coalesce(quantity_raw, '') <> '')
+select paragraph_id, sent_no, quantity_raw as reported_value, quantity_unit as reported_unit, trim(case when k > 0 then
+ substr(text, greatest(1, k - 90), k - greatest(1, k - 90) + length(quantity_raw) + 60) else substr(text, 1, 150) end) as variable from i""",
+)
+R.add(
+    "claim_ids",
+    lambda s, d: numbered(cr.candidates(co.sentences(s, d)).select("document_id", "page", "paragraph_id", "sent_no"), "claim_id", ["document_id", "page", "paragraph_id", "sent_no"], "C%04d")
+    .select("claim_id", "paragraph_id", "sent_no"),
+    f"""with {_CANDIDATES} select format('C{{:04d}}', row_number() over (order by s.document_id nulls first, s.page nulls first, s.paragraph_id, s.sent_no)) as claim_id, s.paragraph_id, s.sent_no
+from cl join s using (paragraph_id, sent_no)""",
+)
 R.add(
     "quantity_contexts",
     lambda s, d: co.sentences(s, d)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from legajo.functions import text as tx
 from legajo.functions.lexicons import SOURCE_PRIORITY
-from legajo.operators import entities as en, integrity as it, statistics as st
+from legajo.operators import entities as en, integrity as it, pages as pg, statistics as st
 from legajo.operators.packed import packed_values
 from legajo.plans import corpus as co
 from legajo.plans.corpus import C, E, L, P, Registry
@@ -281,3 +281,63 @@ def _runs(s, d):
     e = table(s, d, "events").select("user_id", "event_id", "event_type", "ts")
     e = e.withColumn("change", F.coalesce((F.lag("event_type").over(w) != F.col("event_type")).cast("int"), F.lit(1))).withColumn("run", F.sum("change").over(w))
     return e.groupBy("user_id", "run", "event_type").agg(F.count(F.lit(1)).alias("length")).groupBy("event_type", "length").agg(F.count(F.lit(1)).alias("n_runs"))
+
+
+def _assessed(s, d):
+    """Claims with a status as assessments, pinned to their sentence and the beginning of their text."""
+    c = co.claims(s, d).where("verification_status <> 'unassessed'")
+    return c.select("claim_id", F.col("verification_status").alias("assessment"), "sentence_id", F.substring("claim_text", 1, 24).alias("claim_text_prefix"))
+
+
+_PROBLEMS = f"""{C}, {E}, {L}, a as (select claim_id, verification_status as assessment, sentence_id, substr(claim_text, 1, 24) as pre from c where verification_status <> 'unassessed'),
+kn as (select claim_id, min(sentence_id) as ks, min(claim_text) as kt from c group by 1),
+su as (select claim_id, count(*) as n, count(*) filter (coalesce(source_type, '') <> 'audited_document') as ext from e group by 1),
+se as (select a.*, ks, kt, kn.claim_id is not null as known, n, ext from a left join kn using (claim_id) left join su using (claim_id)),
+ty as (select source_id, min(source_type) as lt from l group by 1),
+ee as (select e.*, lt, ty.source_id is not null as listed, coalesce(e.claim_id, '?') || '/' || coalesce(e.source_id, '?') as pair from e left join ty using (source_id))"""
+_ALLOWED = ", ".join(f"'{x}'" for x in it.ASSESSMENTS)
+R.add(
+    "record_problems",
+    lambda s, d: it.problems(co.claims(s, d), co.evidence(s, d), _assessed(s, d), co.ledger(s, d)),
+    f"""with {_PROBLEMS} select distinct * from (
+select 'invalid assessment' as rule, claim_id as rec_id, assessment as ref from a where coalesce(assessment, '') not in ({_ALLOWED})
+union all select 'claim unknown', claim_id, assessment from se where not known
+union all select 'sentence drifted', claim_id, sentence_id from se where known and sentence_id is not null and sentence_id is distinct from ks
+union all select 'text drifted', claim_id, pre from se where known and pre is not null and not coalesce(starts_with(kt, pre), false)
+union all select 'no evidence', claim_id, assessment from se where known and n is null
+union all select 'no evidence from outside', claim_id, assessment from se where known and n > 0 and ext = 0 and coalesce(assessment, '') not in ('opinion_or_interpretation', 'not_independently_verifiable')
+union all select 'source not in the ledger', pair, source_id from ee where not listed
+union all select 'circular source', pair, source_id from ee where listed and lt = 'coverage_of_audited_document'
+union all select 'access date missing', pair, source_id from ee where listed and coalesce(access_date, '') = ''
+union all select 'says nothing', pair, source_id from ee where listed and not (coalesce(supports, false) or coalesce(contradicts, false) or coalesce(contextualises, false)))""",
+)
+R.add(
+    "claims_with_assessments",
+    lambda s, d: it.with_assessments(co.claims(s, d).select("claim_id", "page"), _assessed(s, d)).orderBy((F.col("assessment") == "unassessed").cast("int"), "page", "claim_id"),
+    f"""with {C} select c.claim_id, c.page, coalesce(a.assessment, 'unassessed') as assessment from c
+left join (select claim_id, min(verification_status) as assessment from c where verification_status <> 'unassessed' group by 1) a using (claim_id)
+order by (coalesce(a.assessment, 'unassessed') = 'unassessed')::int, page, claim_id""",
+)
+R.add(
+    "repinned_assessments",
+    lambda s, d: it.repinned(_assessed(s, d).select("claim_id", "claim_text_prefix"), co.claims(s, d)),
+    f"""with {C}, a as (select claim_id, substr(claim_text, 1, 24) as claim_text_prefix from c where verification_status <> 'unassessed'),
+k as (select distinct length(claim_text_prefix) as k from a where length(claim_text_prefix) > 0),
+h as (select distinct claim_id, substr(claim_text, 1, k) as claim_text_prefix from c, k), f as (select claim_text_prefix, count(*) as n, min(claim_id) as o from h group by 1)
+select a.claim_id, a.claim_text_prefix, case when n = 1 then o end as new_claim_id from a left join f using (claim_text_prefix)""",
+)
+# A page's chapter: that of most of its paragraphs, else of those that end on it, else a constant.
+R.add(
+    "chapter_of_pages",
+    lambda s, d: pg.page_chapters(table(s, d, "page_extractions").select("document_id", F.col("page_number").alias("page")).distinct(), co.paragraphs(s, d)),
+    f"""with {P}, pages as (select distinct document_id, page_number as page from page_extractions), n as (select document_id, page, chapter, count(*) as n from p where chapter is not null group by all),
+m as (select document_id, page, arg_min(chapter, (-n, chapter)) as main from n group by all),
+e as (select document_id, page_end as page, min(chapter) as ending from p where chapter is not null and page_end is not null group by all)
+select document_id, page, coalesce(main, ending, 'none') as chapter from pages left join m using (document_id, page) left join e using (document_id, page)""",
+)
+# The document browser: the paragraphs of a chapter in order, and of one section of it if one is chosen, without running titles.
+R.add(
+    "browsed_paragraphs",
+    lambda s, d: pg.browsed(co.paragraphs(s, d), "II. Obras y caminos").select("paragraph_id", "page", "block_type"),
+    f"""with {P} select paragraph_id, page, block_type from p where chapter = 'II. Obras y caminos' and coalesce(block_type, '') <> 'running_title'""",
+)

@@ -115,3 +115,24 @@ R.add(
     "style_outliers",
     lambda s, d: sy.style_distances(sy.features(_texts(s, d), KEYS), KEYS).withColumn("distance", F.round("distance", 3)),
 )
+
+R.add(
+    "segment_coherence",
+    lambda s, d: sy.coherence(sy.function_word_rates(_texts(s, d), KEYS), KEYS, ["document_id"]).select(
+        *KEYS, "n_others", F.round("mean_cosine", 5).alias("mean_cosine"), F.round("js_to_others", 5).alias("js_to_others")
+    ),
+    _RATES
+    + """, nn as (select document_id, chapter, segment, sqrt(sum(rate * rate)) as norm, sum(rate) as mass from rt group by all),
+v as (select rt.*, rate / norm as u, rate / mass as p from rt join nn using (document_id, chapter, segment)),
+pr as (select a.document_id, a.chapter, a.segment, b.chapter as c2, b.segment as s2, sum(a.u * b.u) as cosine from v a join v b on a.document_id = b.document_id and a.word = b.word
+ and (a.chapter, a.segment) is distinct from (b.chapter, b.segment) group by all),
+kk as (select document_id, count(*) - 1 as n_others from nn group by 1),
+wd as (select distinct document_id, word from v), gr as (select nn.document_id, nn.chapter, nn.segment, wd.word from nn join wd using (document_id)),
+di as (select gr.document_id, gr.chapter, gr.segment, gr.word, coalesce(max(p), 0) as p, (select coalesce(sum(o.p), 0) from v o where o.document_id = gr.document_id and o.word = gr.word
+ and (o.chapter, o.segment) is distinct from (gr.chapter, gr.segment)) as rest from gr left join v using (document_id, chapter, segment, word) group by gr.document_id, gr.chapter, gr.segment, gr.word),
+js as (select document_id, chapter, segment, sum(case when p > 1e-12 then p * log2(p / ((p + rest / n_others) / 2)) else 0 end
+ + case when rest > 1e-12 then rest / n_others * log2(rest / n_others / ((p + rest / n_others) / 2)) else 0 end) / 2 as js from di join kk using (document_id) where n_others > 0 group by all)
+select nn.document_id, nn.chapter, nn.segment, n_others, round(case when n_others > 0 then coalesce((select sum(cosine) from pr where pr.document_id = nn.document_id and pr.chapter = nn.chapter
+ and pr.segment = nn.segment), 0) / n_others end, 5) as mean_cosine, round(js, 5) as js_to_others
+from nn join kk using (document_id) left join js using (document_id, chapter, segment)""",
+)

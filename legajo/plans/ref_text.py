@@ -164,8 +164,8 @@ def _tfidf_global(s, d):
     return w.crossJoin(F.broadcast(groups)).select("token", F.round("m", 5).alias("max_tfidf"), F.round(F.col("s") / F.col("groups"), 5).alias("mean_tfidf"))
 
 
-_LISTS = {"hedging": lx.HEDGING, "attribution": lx.ATTRIBUTION, "causal_core": lx.CAUSAL_CORE, "causal_extended": lx.CAUSAL_EXTENDED, "positive": lx.POSITIVE,
-          "negative": lx.NEGATIVE, "risk": lx.RISK_FRAME, "progress": lx.PROGRESS_FRAME}
+_LISTS = {"certainty": lx.CERTAINTY, "hedging": lx.HEDGING, "attribution": lx.ATTRIBUTION, "causal_core": lx.CAUSAL_CORE, "causal_extended": lx.CAUSAL_EXTENDED, "positive": lx.POSITIVE,
+          "negative": lx.NEGATIVE, "adversarial": lx.ADVERSARIAL, **{f"frame_{k}": v for k, v in lx.FRAMES.items()}}
 R.add(
     "framing_features",
     lambda s, d: co.sentences(s, d).select("paragraph_id", "sent_no", tx.word_count(F.col("text"), "hyphenated").alias("n_words"), *st.cue_counts(F.col("text"), _LISTS)),
