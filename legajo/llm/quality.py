@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq, ne
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,22 +66,37 @@ _STOPS = re.compile(r"[.!?…。！？।؟][\"'»”’)\]]*$")
 _GAP = re.compile(r"\s{2,}")
 _HEX = re.compile(r"(?:0x)?[0-9a-fA-F]{2,16}:?,?$")
 _BASE64 = re.compile(r"[A-Za-z0-9+/=_-]{24,}$")
-_MARKS_IN_WORDS = re.compile(r"[!|^~`;:,.'°¬·]")
+_STRAY = "!|^~`;:,.'°¬·"
+_LATIN, _VOWELS = frozenset("abcdefghijklmnopqrstuvwxyzáéíóúüñ"), frozenset("aeiouáéíóúü")
+_COMMON = frozenset(COMMON_WORDS)
 _NUMBERISH = re.compile(r"[\d.,%$\-+\s]*$")
 
 
+#: Characters that may stand before a phrase that fills the rest of a text.
+_FOREIGN = 40
+
+
 def periodic(text: str, least: int = 5) -> bool:
-    """Whether a text is one phrase again and again (at least ``least`` times), up to a few places."""
+    """Whether a text is one phrase again and again (at least ``least`` times), up to a few places and a short beginning."""
     s = " ".join(text.split())
     if len(s) < 2 * least:
         return False
-    probe = s[:12]
-    at = s.find(probe, 1)
-    if at < 0 or len(s) < least * at:
+    # Whatever stands before the first repetition, the middle lies inside one: its place and the next time it comes are a period.
+    middle = len(s) // 3
+    probe = s[middle : middle + 12]
+    again = s.find(probe, middle + 1)
+    period = again - middle
+    if again < 0 or len(s) + 1 < least * period:
         return False
-    shifted = s[at:]
-    different = sum(a != b for a, b in zip(s, shifted, strict=False)) if s[: len(shifted)] != shifted else 0
-    return different <= 0.05 * len(shifted)
+    shifted = s[period:]
+    if s.startswith(shifted):
+        return True
+    different = 0
+    for a in range(0, len(shifted), 4096):  # texts that are no repetition are left early
+        different += sum(map(ne, s[a : a + 4096], shifted[a : a + 4096]))
+        if different > 0.05 * len(shifted) + period:  # a foreign beginning differs within one period
+            return False
+    return different <= 0.05 * len(shifted) + min(period, _FOREIGN)
 
 
 def delimiter_alignment(lines: list[str]) -> tuple[float, str, list[list[str]]]:
@@ -122,16 +138,31 @@ def length_autocorrelation(lengths: list[int], lag: int = 1) -> float:
     return sum((lengths[i] - mean) * (lengths[i + lag] - mean) for i in range(n - lag)) / spread
 
 
-def indentation_period(lines: list[str], longest: int = 4) -> int:
-    """The least period from 1 to ``longest`` with which item marks or indents come back in the lines; 0 if there is none."""
+def indentation_period(lines: list[str], longest: int = 4) -> tuple[int, float]:
+    """The least period from 1 to ``longest`` with which item marks or indents come back best in the lines, and the share of lines
+    that keep to it; (0, 0) if no line has a mark."""
     shape = [1 if _MARK.match(x) else 2 if x[:1].isspace() else 0 for x in lines]
-    if not any(s == 1 for s in shape):
-        return 0
+    best = (0, 0.0)
+    if 1 not in shape:
+        return best
     for p in range(1, longest + 1):
-        pairs = [(shape[i], shape[i + p]) for i in range(len(shape) - p)]
-        if pairs and sum(a == b for a, b in pairs) >= 0.8 * len(pairs):
-            return p
-    return 0
+        pairs = len(shape) - p
+        if pairs > 0:
+            share = sum(map(eq, shape, shape[p:])) / pairs
+            if share > best[1] + 1e-9:
+                best = (p, share)
+    return best
+
+
+def _nearly_all(tokens: list[str], pattern: re.Pattern, share: float) -> bool:
+    """Whether at least ``share`` of the tokens match; stops as soon as too many do not."""
+    others, most = 0, len(tokens) - share * len(tokens)
+    for t in tokens:
+        if not pattern.match(t):
+            others += 1
+            if others > most:
+                return False
+    return True
 
 
 def is_dump(text: str) -> bool:
@@ -142,9 +173,9 @@ def is_dump(text: str) -> bool:
     if periodic(text):
         return True
     tokens = text.split()
-    if len(tokens) >= 8 and sum(bool(_HEX.match(t)) for t in tokens) >= 0.85 * len(tokens) and any(c in "abcdefABCDEF" for c in solid):
+    if len(tokens) >= 8 and _nearly_all(tokens, _HEX, 0.85) and any(c in "abcdefABCDEF" for c in solid):
         return True
-    long_ones = [t for t in tokens if _BASE64.match(t)]
+    long_ones = [t for t in tokens if len(t) >= 24 and _BASE64.match(t)]
     return (
         sum(map(len, long_ones)) >= 0.8 * len(solid)
         and any(c.isdigit() for t in long_ones for c in t)
@@ -153,26 +184,37 @@ def is_dump(text: str) -> bool:
 
 
 def is_noise(text: str, lines: list[str]) -> bool:
-    """Symbol runs, random letters, or words broken up by stray marks."""
+    """Symbol runs, random letters, or words broken up by stray marks, by the ratios of signs and of common words."""
     solid = "".join(text.split())
     if len(solid) < 8:
         return False
-    letters = sum(c.isalpha() for c in solid)
-    digits = sum(c.isdigit() for c in solid)
-    marks = sum(1 for c in solid if not c.isalnum() and unicodedata.category(c)[0] != "M")  # vowel signs are no symbols
+    signs = Counter(solid)  # each ratio is a sum over the distinct signs
+    letters = sum(n for c, n in signs.items() if c.isalpha())
+    digits = sum(n for c, n in signs.items() if c.isdigit())
+    marks = sum(n for c, n in signs.items() if not c.isalnum() and unicodedata.category(c)[0] != "M")  # vowel signs are no symbols
     if letters + digits < 0.3 * len(solid) and marks > 0.5 * len(solid):
         return True
-    ascii_letters = [c for c in solid.lower() if "a" <= c <= "z" or c in "áéíóúüñ"]
-    if len(ascii_letters) >= 24 and len(ascii_letters) >= 0.4 * len(solid):
-        stray = len(_MARKS_IN_WORDS.findall(solid))
+    latin = sum(n for c, n in signs.items() if c.lower() in _LATIN)
+    if latin >= 24 and latin >= 0.4 * len(solid):
+        stray = sum(signs[c] for c in _STRAY)
         if len(lines) <= 2 + len(solid) / 40 and stray >= 0.18 * len(solid):
             return True
-        vowels = sum(c in "aeiouáéíóúü" for c in ascii_letters) / len(ascii_letters)
-        if vowels < 0.27 and len(ascii_letters) >= 0.85 * len(solid):
-            return True
+        vowels = sum(n for c, n in signs.items() if c.lower() in _VOWELS) / latin
+        if vowels < 0.27 and latin >= 0.85 * len(solid):
+            words = text.lower().split()
+            common = sum(w in _COMMON for w in words) / len(words)
+            return vowels + W_COMMON * common < 0.27  # common words speak for a language of few vowels
     return False
 
 
+#: Weights of the signals of layout: for tables alignment of delimiters, short cells, numbers, line lengths that predict the next
+#: one, a delimiter that prose lacks, and ends of sentences (against); for lists the share of items and how regularly they come back;
+#: of common words against noise; and the bounds of both scores.
+W_SHORT, W_NUMBERS, W_LENGTHS, W_STRONG, W_STOPS, TABLE = 1.5, 0.1, 0.2, 0.15, 0.6, 2.34
+W_PERIOD, LIST = 0.5, 1.05
+W_COMMON = 0.2
+
+
 def rows_kind(lines: list[str]) -> str | None:
     """``table`` where nearly all lines are rows of cells, ``list`` where they are entries of a contents page, else None."""
     n = len(lines)
@@ -182,18 +224,26 @@ def rows_kind(lines: list[str]) -> str | None:
     leaders = sum(bool(_LEADER.match(x)) for x in lines) / n
     if leaders >= 0.7:
         return "list"
+    if aligned < 0.5:
+        return None
+    rows = [[c.strip() for c in row] for row in cells if len(row) > 1]
+    inner = [c for row in rows for c in row[1:]]
+    if not inner or len(rows) < 0.6 * n:
+        return None
     stops = sum(bool(_STOPS.search(x)) for x in lines) / n
-    if aligned >= 0.75:
-        rows = [[c.strip() for c in row] for row in cells if len(row) > 1]
-        inner = [c for row in rows for c in row[1:]]
-        short = sum(len(c) <= 24 for c in inner) / max(1, len(inner))
-        numbers = sum(bool(_NUMBERISH.match(c)) for c in inner) / max(1, len(inner))
-        if short >= 0.9 and (delimiter in "|\t " or numbers >= 0.4) and stops < 0.5 and len(rows) >= 0.6 * n:
-            pages = [row[-1] for row in rows if len(row) == 2 and row[-1].isdigit()]
-            if delimiter == " " and len(pages) >= 0.9 * n and all(int(a) < int(b) for a, b in zip(pages, pages[1:], strict=False)):
-                return "list"  # a contents page whose numbers are set flush
-            return "table"
-    return None
+    numbers = sum(bool(_NUMBERISH.match(c)) for c in inner) / len(inner)
+    if delimiter not in "|\t " and numbers < 0.4:  # commas and semicolons are prose's own
+        return None
+    short = sum(len(c) <= 24 for c in inner) / len(inner)
+    lengths = [len(x) for x in lines]
+    regular = max(0.0, *(length_autocorrelation(lengths, lag) for lag in (1, 2, 3)))
+    score = aligned + W_SHORT * short + W_NUMBERS * numbers + W_LENGTHS * regular + W_STRONG * (delimiter in "|\t ") - W_STOPS * stops
+    if score < TABLE:
+        return None
+    pages = [row[-1] for row in rows if len(row) == 2 and row[-1].isdigit()]
+    if delimiter == " " and len(pages) >= 0.9 * n and all(int(a) < int(b) for a, b in zip(pages, pages[1:], strict=False)):
+        return "list"  # a contents page whose numbers are set flush
+    return "table"
 
 
 def items_kind(lines: list[str]) -> str | None:
@@ -208,8 +258,7 @@ def items_kind(lines: list[str]) -> str | None:
         return None
     inside = [m or (i > 0 and x[:2].isspace() and any(marked[max(0, i - 3) : i])) for i, (m, x) in enumerate(zip(marked, lines, strict=True))]
     items, characters = sum(inside), sum(len(x) for i, x in zip(inside, lines, strict=True) if i)
-    nearly_all = items >= 0.8 * (n - heads) or (items >= 0.6 * (n - heads) and indentation_period(lines) > 1)
-    if n - heads < 3 or not nearly_all or characters < 0.7 * sum(map(len, lines[heads:])):
+    if n - heads < 3 or items < 0.5 * (n - heads) or items / (n - heads) + W_PERIOD * indentation_period(lines[heads:])[1] < LIST or characters < 0.7 * sum(map(len, lines[heads:])):
         return None
     sentences = sum(m and bool(_STOPS.search(x)) and len(x) > 60 for m, x in zip(marked, lines, strict=True))
     return "list" if sentences <= 0.5 * n and sum(map(len, lines)) <= 110 * n else None

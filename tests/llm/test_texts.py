@@ -203,7 +203,38 @@ def test_kinds(kind, text):
 
 def test_layout_figures():
     assert quality.length_autocorrelation([5, 5, 5]) == 1 and quality.length_autocorrelation([1, 9] * 10) < -0.8
-    assert quality.indentation_period(["- a", "  b", "- c", "  d", "- e", "  f"]) == 2 and quality.indentation_period(["a", "b"]) == 0
+    assert quality.indentation_period(["- a", "  b", "- c", "  d", "- e", "  f"]) == (2, 1.0) and quality.indentation_period(["a", "b"]) == (0, 0.0)
+
+
+def test_repetition_after_a_beginning():
+    assert quality.kind_of("Aviso legal 7: " + "consulte el portal de la entidad " * 40) == "junk"
+    assert quality.periodic("ver más " * 5) and not quality.periodic("ver más " * 4) and not quality.periodic("abc" * 3 + "El plan siguió y la obra quedó sin firma alguna.")
+
+
+#: Cases that one signal decides: items of which half the lines go on without a mark, rows among notes in the order of their
+#: lengths, and a text of few vowels with many common words.
+WRAPPED_ITEMS = "\n".join(f"- el plan {i} de la red\nde agua y censo" for i in range(9))
+ROWS_AND_NOTES = sorted([f"plan {'x' * (3 * i % 11)};{i};{i * 7}" for i in range(8)] + ["nota " + "y" * (2 * j) for j in range(3)], key=len)
+FEW_VOWELS = "prstl krkvl la de en un vlkst el " * 3
+
+
+def test_each_signal_changes_answers(monkeypatch):
+    assert quality.kind_of(WRAPPED_ITEMS) == "list"
+    with monkeypatch.context() as m:
+        m.setattr(quality, "indentation_period", lambda lines, longest=4: (0, 0.0))
+        m.setattr(quality, "brief_kind", lambda lines: None)
+        assert quality.kind_of(WRAPPED_ITEMS) is None
+    assert quality.rows_kind(ROWS_AND_NOTES) == "table"
+    with monkeypatch.context() as m:
+        m.setattr(quality, "length_autocorrelation", lambda lengths, lag=1: 0.0)
+        assert quality.rows_kind(ROWS_AND_NOTES) is None
+    assert not quality.is_noise(FEW_VOWELS, [FEW_VOWELS])
+    with monkeypatch.context() as m:
+        m.setattr(quality, "W_COMMON", 0.0)
+        assert quality.is_noise(FEW_VOWELS, [FEW_VOWELS])
+    with monkeypatch.context() as m:
+        m.setattr(quality, "delimiter_alignment", lambda lines: (0.0, "", []))
+        assert all(quality.rows_kind(t.split("\n")) is None for t in KINDS["table"])
 
 
 def test_statistics_of_nulls_and_blanks(spark):
