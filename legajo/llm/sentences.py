@@ -85,15 +85,13 @@ def partners(text: str) -> dict[int, int]:
     return found
 
 
-def spans(text: str) -> list[int]:
-    """For every position the end of the outermost span that covers it (exclusive), or 0."""
-    cover = [0] * len(text)
-    done = 0
+def spans(text: str) -> list[tuple[int, int]]:
+    """The outermost spans of a text in order: start and end (exclusive)."""
+    found: list[tuple[int, int]] = []
     for i, end in sorted(partners(text).items()):
-        if i >= done and (text[i] not in "—–" or not _starts_sentence(text, i)):
-            cover[i:end] = [end] * (end - i)
-            done = end
-    return cover
+        if (not found or i >= found[-1][1]) and (text[i] not in "—–" or not _starts_sentence(text, i)):
+            found.append((i, end))
+    return found
 
 
 def _starts_sentence(text: str, i: int) -> bool:
@@ -126,18 +124,23 @@ def sentence_starts(text: str) -> list[int]:
         return []
     starts = [first]
     unpunctuated = not _ANY_STOP.search(text)
-    cover = spans(text) if _MARKS.search(text) else [0] * n
-    i = first
-    while i < n:
-        if cover[i]:
-            end = cover[i]
-            at = _after_span(text, i, end, starts[-1])
+    outer = spans(text) if _MARKS.search(text) else []
+    k, i = 0, first
+    while i < n:  # from one place that may end a sentence to the next
+        event = _EVENT.search(text, i)
+        here = event.start() if event else n
+        while k < len(outer) and outer[k][1] <= i:
+            k += 1
+        if k < len(outer) and outer[k][0] <= here:
+            start, end = max(i, outer[k][0]), outer[k][1]
+            at = _after_span(text, start, end, starts[-1])
             if at:
                 starts.append(at)
-                i = at
-            else:
-                i = end
+            i = at or end
             continue
+        if here == n:
+            break
+        i = here
         ch = text[i]
         if ch in _OWN_STOPS:
             at = _next(text, _skip(text, i + 1, _OWN_STOPS + "!?"))
@@ -147,20 +150,17 @@ def sentence_starts(text: str) -> list[int]:
             continue
         if ch in _TERMINATORS:
             end = _skip(text, i, _TERMINATORS)
-            at = _boundary(text, i, end, starts[-1], cover)
+            at = _boundary(text, i, end, starts[-1])
             if at:
                 starts.append(at)
                 i = at
             else:
                 i = end
             continue
-        if ch in _BLANK and _spaceless(text, i):
-            at = _next(text, i)
-            if at < n and _gap(text, i, at, unpunctuated):
-                starts.append(at)
-            i = max(at, i + 1)
-            continue
-        i += 1
+        at = _next(text, i)  # a blank of a spaceless script
+        if at < n and _gap(text, i, at, unpunctuated):
+            starts.append(at)
+        i = max(at, i + 1)
     return starts
 
 
@@ -199,7 +199,7 @@ def _after_span(text: str, start: int, end: int, sentence: int) -> int:
     return at
 
 
-def _boundary(text: str, dot: int, end: int, sentence: int, cover: list[int]) -> int:
+def _boundary(text: str, dot: int, end: int, sentence: int) -> int:
     """The start of the next sentence if the terminators from ``dot`` to ``end`` end one, else 0."""
     n = len(text)
     stop = text[dot:end]
@@ -294,13 +294,11 @@ _LEXICON = frozenset({*_GO_ON, *_MORE, *_OPEN})
 _LENGTHS = sorted({len(w) for w in _LEXICON})
 _SCRIPT_RUN = re.compile("[\u0e00-\u0eff]+")
 _CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+#: Where a sentence may end: terminators, and blanks after letters of spaceless scripts.
+_EVENT = re.compile("[" + re.escape(_TERMINATORS + _OWN_STOPS) + "]|(?<=[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff])[" + re.escape(_BLANK) + "]")
 _ANY_STOP = re.compile("[" + re.escape(_TERMINATORS + _OWN_STOPS) + "]")
 
 
-def _spaceless(text: str, i: int) -> bool:
-    return i > 0 and ("\u0e00" <= text[i - 1] <= "\u0eff" or bool(_CJK.match(text[i - 1])))
-
-
 @lru_cache(maxsize=2_000)
 def lattice_words(run: str) -> list[str]:
     """The cheapest path through the lattice of dictionary words of a run: known words cost 1, other characters 2 each."""
