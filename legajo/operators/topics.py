@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from legajo.session import checkpointed, small_lookup
+
 
 def counted(tokens: DataFrame, doc: str, least_docs: int = 3, most_share: float = 0.5, vocabulary: int = 2**31 - 1):
     """Count vectors of documents (doc, features) and the vocabulary, by the library's vectoriser: all terms between the two bounds."""
@@ -24,8 +30,6 @@ def lda(vectors: DataFrame, doc: str, k: int, iterations: int = 60, seed: int =
     from pyspark.ml.clustering import LocalLDAModel
     from pyspark.ml.functions import vector_to_array
 
-    from legajo.session import checkpointed
-
     spark = vectors.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     vectors = checkpointed(vectors.select(doc, "features").repartition(parts, doc))  # read in every pass
@@ -89,15 +93,95 @@ def coherence(topic_terms: DataFrame, tokens: DataFrame, doc: list[str], order:
     return full.groupBy("topic").agg(F.avg(npmi).alias("npmi"))
 
 
-def nmf(weights: DataFrame, doc: str, k: int, rounds: int = 600, seed: int = 7, tolerance: float = 1e-5, sweeps: int = 5) -> DataFrame:
-    """doc, topic and weight of a non-negative factorisation of (doc, token, w) by coordinate descent.
+#: Terms x topics up to which the factor of the terms is held by the driver and each task; beyond, it stays distributed.
+HELD_NUMBERS = 2_000_000
 
-    Both factors stay in long form and are joined by key; only the k x k products of a factor with itself are gathered. Lineage
-    is cut after every update. Ends when the error falls by less than ``tolerance`` of itself in a round; raises if ``rounds``
-    do not suffice.
-    """
-    from legajo.session import checkpointed, small_lookup
 
+def nmf(weights: DataFrame, doc: str, k: int, rounds: int = 600, seed: int = 7, tolerance: float = 1e-4, sweeps: int = 20, held: int = HELD_NUMBERS) -> DataFrame:
+    """doc, topic and weight of the dominant topic of each document, by a non-negative factorisation of (doc, token, w).
+
+    Alternating coordinate descent: the factor of the documents is never stored, each round solves it anew from the factor of the
+    terms, and only sums over documents (terms x k and k x k) come back. Where the terms are more than ``held`` numbers allow, both
+    factors stay distributed (:func:`nmf_distributed`). Ends when the error falls by less than ``tolerance`` of the first error in a
+    round; raises if ``rounds`` do not suffice. Documents without weights have no row.
+    """
+    x = checkpointed(weights.select(F.col(doc).alias("d"), F.col("token").alias("t"), F.col("w").cast("double").alias("w")).where("w > 0"))
+    spark = x.sparkSession
+    terms = x.select("t").distinct().limit(held // k + 1).toPandas()["t"].sort_values().tolist()
+    if len(terms) > held // k:
+        return nmf_distributed(x.withColumnRenamed("d", doc).withColumnRenamed("t", "token"), doc, k, rounds, seed, tolerance)
+    kind = x.schema["d"].dataType.simpleString()
+    if not terms:
+        return spark.createDataFrame([], f"`{doc}` {kind}, topic int, weight double")
+    size = x.agg(F.sum(F.col("w") * F.col("w"))).first()[0]
+    places = spark.createDataFrame(pd.DataFrame({"t": terms, "i": range(len(terms))}))
+    rows = checkpointed(x.join(places, "t").groupBy("d").agg(F.collect_list("i").alias("i"), F.collect_list("w").alias("w")))  # one document's terms
+
+    def solved(b: pd.DataFrame, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The factor of a batch of documents and its products with the data; term, document and weight of all cells."""
+        counts = b["i"].map(len).to_numpy()
+        at, of, w = np.concatenate(b["i"].to_numpy()), np.repeat(np.arange(len(b)), counts), np.concatenate(b["w"].to_numpy())
+        n = np.zeros((len(b), k))
+        np.add.at(n, of, v[at] * w[:, None])
+        g = v.T @ v
+        u = np.maximum(0.0, n / (g.sum(axis=0) + 1e-12))
+        _descend(u, n, g, sweeps)
+        return u, n, at, of, w
+
+    v = np.random.default_rng(seed).random((len(terms), k)) + 1e-3
+    first = before = None
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(v)
+
+        def summed(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            inner, outer, met = np.zeros((k, k)), np.zeros(shared.value.shape), 0.0
+            for b in batches:
+                if len(b):
+                    u, n, at, of, w = solved(b, shared.value)
+                    inner += u.T @ u
+                    np.add.at(outer, at, u[of] * w[:, None])
+                    met += float((u * n).sum())
+            seen = np.flatnonzero(outer.any(axis=1))
+            cells = [(-1, j, x) for j, x in enumerate(inner.ravel().tolist())] + [(-2, 0, met)]
+            cells += [(int(i), j, float(outer[i, j])) for i in seen for j in range(k)]
+            yield pd.DataFrame(cells, columns=["i", "j", "x"])
+
+        sums = rows.mapInPandas(summed, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()  # held + k * k + 1 at most
+        shared.destroy()
+        inner, outer = np.zeros(k * k), np.zeros(v.shape)
+        square = sums[sums["i"] == -1]
+        inner[square["j"]] = square["x"]
+        inner = inner.reshape(k, k)
+        met = float(sums.loc[sums["i"] == -2, "x"].sum())
+        cell = sums[sums["i"] >= 0]
+        outer[cell["i"], cell["j"]] = cell["x"]
+        error = max(0.0, size - 2 * met + float((inner * (v.T @ v)).sum())) ** 0.5
+        if error <= 1e-7 * size**0.5 or before is not None and before - error <= tolerance * first:
+            break
+        before, first = error, first or error
+        _descend(v, outer, inner, sweeps)
+    else:
+        raise RuntimeError(f"the factorisation still improves after {rounds} rounds")
+    last = spark.sparkContext.broadcast(v)
+
+    def dominated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"d": b["d"], "u": solved(b, last.value)[0].tolist()})
+
+    return dominant(rows.mapInPandas(dominated, f"d {kind}, u array<double>").withColumnRenamed("d", doc), doc, "u")
+
+
+def _descend(f: np.ndarray, n: np.ndarray, g: np.ndarray, sweeps: int) -> None:
+    """Rows of ``f`` brought near the least error, coordinate by coordinate, from their products with the data and the other factor."""
+    for _ in range(sweeps):
+        for j in range(g.shape[0]):
+            f[:, j] = np.maximum(0.0, f[:, j] + (n[:, j] - f @ g[:, j]) / (g[j, j] + 1e-12))
+
+
+def nmf_distributed(weights: DataFrame, doc: str, k: int, rounds: int = 600, seed: int = 7, tolerance: float = 1e-4, sweeps: int = 5) -> DataFrame:
+    """:func:`nmf` for any number of terms: both factors stay in long form and are joined by key; only the k x k products of a
+    factor with itself are gathered. Lineage is cut after every update."""
     x = checkpointed(weights.select(F.col(doc).alias("d"), F.col("token").alias("t"), F.col("w").cast("double").alias("w")))
     start = lambda c, salt: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.pmod(F.xxhash64(c, i, F.lit(seed + salt)), F.lit(10_000)) + 1) / 10_000.0)
     left = checkpointed(x.select("d").distinct().select("d", start("d", 0).alias("u")))
@@ -127,7 +211,8 @@ def nmf(weights: DataFrame, doc: str, k: int, rounds: int = 600, seed: int = 7,
         fresh = F.aggregate(F.sequence(F.lit(0), F.lit(sweeps * k - 1)), F.col(c), step)
         return checkpointed(mine.select(key, c).join(top, key).select(key, fresh.alias(c), "n"))
 
-    before, of_left = None, gram(left, "u")
+    first = before = None
+    of_left = gram(left, "u")
     for _ in range(rounds):
         right = update(right, "t", "v", left, "d", "u", of_left)
         of_right = gram(right, "v")
@@ -136,7 +221,7 @@ def nmf(weights: DataFrame, doc: str, k: int, rounds: int = 600, seed: int = 7,
         met = left.agg(F.sum(dot(F.col("u"), F.col("n")))).first()[0] or 0.0
         both = sum(a * b for p, q in zip(of_left, of_right, strict=True) for a, b in zip(p, q, strict=True))
         error = max(0.0, size - 2 * met + both) ** 0.5
-        if error <= 1e-7 * size**0.5 or before is not None and before - error <= tolerance * before:
+        if error <= 1e-7 * size**0.5 or before is not None and before - error <= tolerance * first:
             return dominant(left.select(F.col("d").alias(doc), "u"), doc, "u")
-        before = error
+        before, first = error, first or error
     raise RuntimeError(f"the factorisation still improves after {rounds} rounds")

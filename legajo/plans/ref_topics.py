@@ -119,7 +119,7 @@ R.add("embedding_map", lambda s, d: ve.principal_components(table(s, d, "embeddi
 
 
 def _lda(s, d):
-    vectors, _ = to.counted(co.tokens(s, d).where(F.length("token") > 3), "paragraph_id")
+    vectors, _ = to.counted(co.tokens(s, d), "paragraph_id")
     return to.lda(vectors, "paragraph_id", 6)[0]
 
 
@@ -128,6 +128,6 @@ R.add("lda_topics", _lda)
 R.add(
     "nmf_topics",
     lambda s, d: to.nmf(
-        st.tf_idf(co.tokens(s, d).where(F.col("level2").isNotNull() & (F.length("token") > 3)), ["level2"]).select("level2", "token", F.col("tfidf").alias("w")), "level2", 4
+        st.tf_idf(co.tokens(s, d), ["paragraph_id"], least_tokens=20).select("paragraph_id", "token", F.col("tfidf").alias("w")), "paragraph_id", 13
     ),
 )

@@ -244,3 +244,13 @@ def test_factorisation_runs_until_the_error_stops_falling(spark):
     assert len(topic) == 12 and len({(topic[f"d{i:02d}"], i // 6) for i in range(12)}) == 2
     with pytest.raises(RuntimeError, match="still improves"):
         to.nmf(rows, "d", 2, rounds=2)
+
+
+def test_both_factorisations_agree(spark):
+    rng = np.random.default_rng(4)
+    x = np.kron(np.eye(3), np.ones((5, 4))) * rng.uniform(0.5, 1.5, (15, 12))
+    rows = spark.createDataFrame([(i, f"t{j:02d}", float(x[i, j])) for i in range(15) for j in range(12) if x[i, j] > 0], "d int, token string, w double")
+    for held in (10_000, 5):  # the factor of the terms in memory, and distributed
+        topic = {r["d"]: r["topic"] for r in to.nmf(rows, "d", 3, held=held).collect()}
+        assert len(topic) == 15 and len({(topic[i], i // 5) for i in range(15)}) == 3
+    assert to.nmf(rows.limit(0), "d", 3).count() == 0
