@@ -88,3 +88,16 @@ def cue_counts(text: Column, lists: dict[str, list[str]]) -> list[Column]:
 def polarity(positive: Column, negative: Column) -> Column:
     """(positive - negative) / (positive + negative); null where both are 0."""
     return F.when(positive + negative > 0, (positive - negative) / (positive + negative))
+
+
+def content_words(tokens: DataFrame, stopwords: list[str], kept: list[str]) -> DataFrame:
+    """Tokens without stopwords (but for the ``kept`` ones), numbers and single letters."""
+    dropped = [w for w in dict.fromkeys(stopwords) if w not in set(kept)]
+    return tokens.where(~F.col("token").isin(dropped) & F.col("token").rlike(r"^\p{L}{2,}+$"))
+
+
+def top_terms(weights: DataFrame, group: str, k: int) -> DataFrame:
+    """The ``k`` heaviest tokens of each group with their rank; ties by token. ``weights`` has group, token and tfidf."""
+    order = Window.partitionBy(group).orderBy(F.desc("w"), "token")
+    ranked = weights.select(group, "token", F.round("tfidf", 6).alias("w")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(group, "rank", "token", F.col("w").alias("tfidf"))  # a rank limit is kept inside each task first

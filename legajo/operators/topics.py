@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legajo.session import checkpointed, small_lookup
@@ -225,3 +225,17 @@ def nmf_distributed(weights: DataFrame, doc: str, k: int, rounds: int = 600, see
             return dominant(left.select(F.col("d").alias(doc), "u"), doc, "u")
         before, first = error, first or error
     raise RuntimeError(f"the factorisation still improves after {rounds} rounds")
+
+
+def topic_examples(assigned: DataFrame, texts: DataFrame, doc: str, text: str, n: int = 3, characters: int = 200) -> DataFrame:
+    """topic, rank, ``doc``, weight and the beginning of the text of the ``n`` documents that a topic weighs most in."""
+    order = Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 9)), doc)
+    best = assigned.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)  # few rows for each topic
+    return best.join(texts.select(doc, F.substring(text, 1, characters).alias("excerpt")), doc, "left").select("topic", "rank", doc, "weight", "excerpt")
+
+
+def sweep(fit, numbers: list[int], score) -> DataFrame:
+    """k and score of ``fit(k)`` for each number of topics, the best first (ties: the fewer topics); a few rows."""
+    rows = [(k, float(score(fit(k)))) for k in numbers]
+    spark = SparkSession.active()
+    return spark.createDataFrame(rows, "k int, score double").orderBy(F.desc("score"), "k")

@@ -247,3 +247,20 @@ R.add(
     lambda s, d: co.sentences(s, d).where(F.lower("text").contains("auditoría delegada")).groupBy("chapter").agg(F.count(F.lit(1)).alias("n")),
     f"with {S} select chapter, count(*) as n from s where contains(lower(text), 'auditoría delegada') group by 1",
 )
+
+_DROPPED = ", ".join(f"'{w}'" for w in dict.fromkeys(lx.STOPWORDS) if w not in lx.KEPT_WORDS)
+R.add(
+    "content_word_counts",
+    lambda s, d: st.content_words(co.tokens(s, d), lx.STOPWORDS, lx.KEPT_WORDS).groupBy("token").agg(F.count(F.lit(1)).alias("n")),
+    rf"with {T} select token, count(*) as n from t where token not in ({_DROPPED}) and regexp_matches(token, '^\p{{L}}{{2,}}$') group by 1",
+)
+R.add(
+    "tfidf_by_chapter",
+    lambda s, d: st.top_terms(st.tf_idf(co.tokens(s, d).where("chapter is not null"), ["chapter"], least_groups=1), "chapter", 12),
+    rf"""with {T}, ct as (select chapter, token from t where chapter is not null), z as (select chapter from ct group by 1 having count(*) >= 30),
+tf as (select chapter, token, count(*) as n from ct where length(token) >= 3 and chapter in (select chapter from z) group by all),
+df as (select token, count(*) as df from tf group by 1),
+w as (select chapter, token, (1 + ln(n)) * (ln((1 + (select count(*) from z)) / (1 + df)) + 1) as w from tf join df using (token)),
+v as (select chapter, token, w / sqrt(sum(w * w) over (partition by chapter)) as tfidf from w)
+select chapter, token, round(tfidf, 6) as tfidf, row_number() over (partition by chapter order by round(tfidf, 6) desc, token)::int as rank from v qualify rank <= 12""",
+)

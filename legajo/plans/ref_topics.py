@@ -131,3 +131,6 @@ R.add(
         st.tf_idf(co.tokens(s, d), ["paragraph_id"], least_tokens=20).select("paragraph_id", "token", F.col("tfidf").alias("w")), "paragraph_id", 13
     ),
 )
+
+
+R.add("topic_examples", lambda s, d: to.topic_examples(_lda(s, d), co.analytic(s, d), "paragraph_id", "clean_text"))

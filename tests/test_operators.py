@@ -254,3 +254,12 @@ def test_both_factorisations_agree(spark):
         topic = {r["d"]: r["topic"] for r in to.nmf(rows, "d", 3, held=held).collect()}
         assert len(topic) == 15 and len({(topic[i], i // 5) for i in range(15)}) == 3
     assert to.nmf(rows.limit(0), "d", 3).count() == 0
+
+
+def test_sweep_and_examples(spark):
+    got = to.sweep(lambda k: k, [6, 7, 8], lambda k: -abs(k - 7)).collect()
+    assert [r["k"] for r in got] == [7, 6, 8]
+    assigned = spark.createDataFrame([("a", 0, 0.5), ("b", 0, 0.5), ("c", 0, 0.9), ("d", 1, None)], "p string, topic int, weight double")
+    texts = spark.createDataFrame([("a", "x" * 300), ("b", None), ("c", "y")], "p string, t string")
+    rows = {(r["topic"], r["rank"]): (r["p"], r["excerpt"]) for r in to.topic_examples(assigned, texts, "p", "t", 2).collect()}
+    assert rows == {(0, 1): ("c", "y"), (0, 2): ("a", "x" * 200), (1, 1): ("d", None)}
