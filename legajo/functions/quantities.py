@@ -16,7 +16,7 @@ from fractions import Fraction
 from functools import lru_cache
 
 #: The base dimensions; a vector holds one exponent for each.
-BASES = ("length", "mass", "time", "cop", "usd", "count", "ratio")
+BASES = ("length", "mass", "time", "cop", "usd", "count", "ratio", "temperature")
 
 Vector = tuple[int, ...]
 
@@ -31,6 +31,13 @@ _POWER, _ENERGY = _v(mass=1, length=2, time=-3), _v(mass=1, length=2, time=-2)
 _COUNT, _RATIO, _COP, _USD = _v(count=1), _v(ratio=1), _v(cop=1), _v(usd=1)
 
 F_ = Fraction
+_TEMPERATURE = _v(temperature=1)
+#: Units with another zero, as they are folded: scale and offset to kelvin (fixed values). They stand alone, without powers.
+TEMPERATURES: dict[str, tuple[Fraction, Fraction]] = {
+    **dict.fromkeys(("k", "kelvin", "kelvins"), (F_(1), F_(0))),
+    **dict.fromkeys(("°c", "º c", "ºc", "° c", "celsius", "grados celsius", "grado celsius", "grados centigrados", "grado centigrado", "degrees celsius"), (F_(1), F_("273.15"))),
+    **dict.fromkeys(("°f", "º f", "ºf", "° f", "fahrenheit", "grados fahrenheit", "grado fahrenheit", "degrees fahrenheit"), (F_(5, 9), F_("459.67") * F_(5, 9))),
+}
 # Words and symbols of units, as they are folded (lower case, no accents), with scale and dimension.
 ATOMS: dict[str, tuple[Fraction, Vector]] = {}
 
@@ -128,6 +135,8 @@ def parse_factor(text: str) -> tuple[Fraction, Vector] | None:
         return F_(10**9), _MASS
     if f in ATOMS:
         return ATOMS[f]
+    if f in TEMPERATURES and (f != "k" or raw == "K"):
+        return TEMPERATURES[f][0], _TEMPERATURE
     words = f.split(" ")
     if len(words) > 1 and words[-1] in _POWERS:
         base = parse_factor(" ".join(words[:-1]))
@@ -219,6 +228,9 @@ _WITH_CURRENCY = re.compile(rf"(?P<cur>{_CUR})\s*(?P<num>{_NUM}|{_WORD_NUM})(?:\
 _WITH_UNIT = re.compile(
     rf"(?P<num>{_NUM}|{_WORD_NUM})(?:\s+(?P<scale>{_SCALE})(?:\s+de)?(?=\s+(?:{_UNIT}){_TAIL}))?\s*(?P<unit>{_UNIT}|{_CUR}){_TAIL}"
 )
+_DEGREES = re.compile(
+    rf"(?P<sign>(?<![\w.,])[-−–]\s?)?(?<![\d.,/])(?P<num>\d+(?:[.,]\d+)?)\s*(?P<unit>{_alternation(u for u in TEMPERATURES if u != 'k')})(?!\w)"
+)
 _RATIO_OF = re.compile(rf"(?:fraccion|proporcion|fraction|proportion)\s+(?:de|of)\s+(?P<num>{_NUM})")
 #: What looks like a quantity but is a reference, a date or a clock time (fixed values).
 _MASK = re.compile(
@@ -291,6 +303,11 @@ def quantities(text: str | None) -> list[tuple[Fraction, Vector]]:
 
     for m in _RATIO_OF.finditer(t):
         add(m, F_(1), _RATIO)
+    if any(w in t for w in ("°", "º", "celsius", "fahrenheit", "kelvin", "centigrad")):
+        for m in _DEGREES.finditer(t):
+            n, (scale, offset) = parse_number(m.group("num"), english), TEMPERATURES[re.sub(r"\s+", " ", m.group("unit"))]
+            if n is not None:
+                found.append((m.start(), m.end(), (-n if m.group("sign") else n) * scale + offset, _TEMPERATURE))
     for m in _WITH_CURRENCY.finditer(t):
         add(m, F_(_scale(m.group("scale"), english)), _USD if m.group("cur").startswith("u") else _COP)
     for m in _WITH_UNIT.finditer(t):
@@ -316,7 +333,7 @@ def stated_quantity(text: str | None, value: float | None, unit: str | None, kno
     said = [(n, v) for n, v in quantities(text) if v in known]
     column = None
     if value is not None and value == value and unit and (u := parse_unit(unit)) and u[1] in known:
-        column = (F_(repr(value)) * u[0], u[1])
+        column = (F_(repr(value)) * u[0] + offset_of(unit), u[1])
     if not said:
         said = [column] if column else []
     elif column and len(said) > 1:
@@ -325,7 +342,12 @@ def stated_quantity(text: str | None, value: float | None, unit: str | None, kno
         return None
     n, v = said[0]
     base, scale = known[v]
-    return base, half_up(n / scale)
+    return base, half_up((n - offset_of(base)) / scale)
+
+
+def offset_of(unit: str) -> Fraction:
+    """What is added to a scaled value of ``unit`` to count from the zero of the base dimensions."""
+    return TEMPERATURES.get(fold(re.sub(r"\s+", " ", unit.strip().rstrip("."))), (F_(1), F_(0)))[1]
 
 
 def half_up(x: Fraction) -> int:

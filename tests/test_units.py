@@ -73,3 +73,16 @@ def test_table(spark):
     got = {tuple(r) for r in common_quantities(claims, units).collect()}
     assert got == {("c1", "kg", 2000), (None, "kg", 5)}
     assert common_quantities(claims.limit(0), units).count() == 0
+
+
+def test_units_with_another_zero():
+    def converted(text, value, unit, base):
+        scale, vector = q.parse_unit(base)
+        return q.stated_quantity(text, value, unit, {vector: (base, scale)})
+
+    assert converted("La sala llegó a 25 °C.", None, None, "K") == ("K", 298)
+    assert converted("La cámara bajó a -40 ºF ayer.", None, None, "°C") == ("°C", -40)
+    assert converted(None, 212.0, "grados Fahrenheit", "grados Celsius") == ("grados Celsius", 100)
+    assert converted("Marcó 300 kelvin.", None, None, "°F") == ("°F", 80)
+    assert converted("Pagó 25 km de vía.", None, None, "°C") is None
+    assert q.parse_unit("°C²") is None or q.parse_unit("°C²")[1] != q.parse_unit("°C")[1]
