@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.operators.ranks import auc
-from legajo.session import small_lookup
+from legajo.session import checkpointed, small_lookup
 
 #: Bounds that a score must keep to be used (fixed values): of the area's interval, of held-out false positives, of the rows of
 #: both classes, of the groups and of the makers of the positive class; and the false positives a threshold aims at.
@@ -72,9 +72,9 @@ def bootstrap_auc(df: DataFrame, label: str, score: str, group: str, replicates:
     # The area is a sum over pairs of groups, so that the scores are walked once and a replicate only weighs the pairs. The
     # pairs of a score with all lower negative scores are counted by its place: counts of groups below, then inside a bucket.
     df = df.where(F.col(score).isNotNull() & F.col(group).isNotNull())  # rows without a group can not be drawn
-    counts = df.groupBy(label, group, score).agg(F.count(F.lit(1)).alias("n"))
-    pairs = _beaten(counts, label, group, score)
-    sizes = df.groupBy(label, group).agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(df.groupBy(label, group, score).agg(F.count(F.lit(1)).alias("n")))  # the scores are computed once
+    pairs = checkpointed(_beaten(counts, label, group, score))  # groups x groups
+    sizes = counts.groupBy(label, group).agg(F.sum("n").alias("n"))
     numbered = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
     drawn = sizes.select(label, group, "n", numbered).withColumn("w", draws).where("w > 0")
     totals = drawn.groupBy("replicate").agg(
